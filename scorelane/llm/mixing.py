@@ -125,17 +125,20 @@ def plan(rows: DataFrame, work: Workspace, weights: tuple[int, ...] = WEIGHTS, m
     counts = work.save(counts.select("sid", "size", "n"), "counts")
     rates = solve(counts, goals, work, most)
     state = work.save(goals.withColumnRenamed("source", "_s").join(rates, "sid", "left"), "rates")
+    known = work.save(_copies(rows, state, 0, most).select("sid", "target", "size", "u", "copies"), "rounded")
     for k in range(REPAIRS):
-        known = _copies(rows, state, k, most)
-        gaps = known.groupBy("sid").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias(f"gap{k}"))
-        gaps = work.save(gaps, "gaps")
+        gaps = work.save(known.groupBy("sid").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias(f"gap{k}")), "gaps")
         own = gaps.select(F.col("sid").alias("_sid"), F.col(f"gap{k}").alias("gap"))
         fits = (F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & (((F.col("gap") > 0) & (F.col("copies") < most)) | ((F.col("gap") < 0) & (F.col("copies") > 0)))
         placed = known.join(own, F.col("sid") == F.col("_sid")).filter(fits).groupBy("sid", _place(k + 1).alias("place")).agg(F.sum("size").alias("t"), F.max(F.abs("gap")).alias("room"))
         running = F.sum("t").over(Window.partitionBy("sid").orderBy("place"))
         last = placed.withColumn("c", running).filter("c <= room").groupBy("sid").agg(F.max("place").alias(f"last{k}"))
-        state = work.save(state.join(gaps, "sid", "left").join(last, "sid", "left"), "plan")
-    return state
+        step = work.save(gaps.join(last, "sid", "left"), "repair")
+        state = state.join(step, "sid", "left")
+        if k + 1 < REPAIRS:
+            moved = known.join(step.withColumnRenamed("sid", "_sid"), F.col("sid") == F.col("_sid"), "left").withColumn("copies", _repaired(F.col("copies"), k, most))
+            known = work.save(moved.select("sid", "target", "size", "u", "copies"), "rounded")
+    return work.save(state, "plan")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
