@@ -1,11 +1,12 @@
 """Cutting texts into the matches of a tokenizer's pattern, with a bounded memory of encoded parts.
 
-The patterns used here start a match at every space that a character other than white space
-follows, and no match runs over such a space from the left. A text without a space before white
-space (or at its end) can thus be cut at its spaces: the encodings of the parts, each with its
-space in front, follow one another as in the whole text. Other texts, and those with a zero
-character, are cut by the pattern itself, whose matches are parts as well. Arrow cuts and numbers
-the parts of a batch, so that Python sees each distinct part of a batch once.
+In the patterns used here a match ends wherever a space that another character follows begins,
+between a letter and a mark such as a full stop, and on both sides of a single line feed between
+characters that aren't white space. Texts without runs of white space can thus be cut at these
+places into parts, whose encodings follow one another as in the whole text; few parts hold more
+than one match. Other texts, and those with a zero character, are cut by the pattern itself, whose
+matches are parts as well. Arrow cuts and numbers the parts of a batch, so that Python sees each
+distinct part of a batch once.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: A space that may belong to a longer run (a superset of what any pattern calls white space), or a zero.
-RUN = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|\z)|\x{00}"
-#: Encoded matches, and encoded parts, that a worker remembers; a full memory is emptied.
-REMEMBERED = 800_000
+#: Neighbouring white space (a superset of what any pattern calls so), a space at the end, or a zero.
+RUN = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]{2}| \z|\x{00}"
+#: A Latin letter before a mark that isn't a letter, a number or white space in any pattern.
+MARK = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,;:!?])"
+#: Encoded parts that a worker remembers; a full memory is emptied.
+REMEMBERED = 500_000
 
 
 class Pieces:
@@ -28,24 +31,24 @@ class Pieces:
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], list], join: Callable[[list], object]):
         self.findall, self.encode, self.join = regex.compile(pattern).findall, encode, join
-        self.matches: dict[str, object] = {}
         self.parts: dict[str, object] = {}
 
     def _parts(self, parts: list[str]) -> list:
-        """Encodings of distinct parts, remembered ones first looked up."""
-        new = [p for p in parts if p not in self.parts]
-        if len(self.parts) + len(new) > REMEMBERED:
-            self.parts.clear()
+        """Encodings of distinct parts, remembered ones looked up; a match is a part of its own."""
+        known = self.parts
+        new = [p for p in parts if p not in known]
+        if len(known) + 2 * len(new) > REMEMBERED:
+            known.clear()
             new = parts
-        cut = [self.findall(p) for p in new]
-        unknown = [m for m in set().union(*cut) if m not in self.matches]
-        if len(self.matches) + len(unknown) > REMEMBERED:
-            self.matches.clear()
-            unknown = list(set().union(*cut))
-        self.matches.update(zip(unknown, self.encode(unknown), strict=True))
-        get, join = self.matches.__getitem__, self.join
-        self.parts.update((p, get(c[0]) if len(c) == 1 else join(list(map(get, c)))) for p, c in zip(new, cut, strict=True))
-        return list(map(self.parts.__getitem__, parts))
+        cut = list(map(self.findall, new))
+        single = [p for p, c in zip(new, cut, strict=True) if len(c) == 1]
+        longer = [(p, c) for p, c in zip(new, cut, strict=True) if len(c) != 1]
+        known.update(zip(single, self.encode(single), strict=True))
+        unknown = [m for m in {m for _, c in longer for m in c} if m not in known]
+        known.update(zip(unknown, self.encode(unknown), strict=True))
+        for p, c in longer:
+            known[p] = self.join([known[m] for m in c])
+        return [known[p] for p in parts]
 
     def encoded(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
         """Encodings of the distinct parts, the number of each part, and where the texts end in these.
@@ -54,7 +57,9 @@ class Pieces:
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(texts, RUN)
-        lists = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), " ", "\0 "), "\0")
+        marked = pc.replace_substring_regex(pc.if_else(odd, "", texts), MARK, "\\1\0\\2")
+        marked = pc.replace_substring(pc.replace_substring(marked, "\n", "\0\n\0"), " ", "\0 ")
+        lists = pc.split_pattern(marked, "\0")
         if pc.any(odd).as_py():
             cut = [self.findall(t) for t in texts.filter(odd).to_pylist()]
             lists = _replaced(lists, odd, cut)
