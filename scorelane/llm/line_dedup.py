@@ -17,13 +17,9 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelane.llm.common import small_batches
-
 
 def _windows(lines: Column, window: int) -> Column:
     """Array of structs, one a window, of the hashes of its lines; a short text has one window."""
@@ -31,25 +27,6 @@ def _windows(lines: Column, window: int) -> Column:
     return F.slice(F.arrays_zip(*[F.slice(hashed, k + 1, 1 << 30).alias(f"l{k}") for k in range(window)]), 1, F.greatest(F.size(lines) - (window - 1), F.lit(1)))
 
 
-@F.pandas_udf("struct<text string, n int, spans array<struct<first int, last int>>>")
-def _cut(texts: pd.Series, starts: pd.Series, window: pd.Series) -> pd.DataFrame:
-    """The text without the lines that windows from ``starts`` cover; null starts, null result."""
-    out = []
-    for text, own, w in zip(texts, starts, window, strict=True):
-        if own is None or text is None:
-            out.append((None, None, None))
-            continue
-        lines = text.split("\n")
-        gone = np.zeros(len(lines) + 1, np.int64)
-        np.add.at(gone, own, 1)
-        np.add.at(gone, np.minimum(own + w, len(lines)), -1)
-        gone = np.cumsum(gone)[:-1] > 0
-        edge = np.diff(np.concatenate([[0], gone, [0]]))
-        spans = [{"first": int(a), "last": int(b) - 1} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-        out.append(("\n".join(x for x, g in zip(lines, gone, strict=True) if not g), int(gone.sum()), spans))
-    return pd.DataFrame(out, columns=["text", "n", "spans"])
-
-
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3) -> DataFrame:
     """``docs`` with ``text_col`` cleaned and n_lines, n_removed and removed_spans added.
 
@@ -57,7 +34,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts are combined before the shuffle, so a window that fills a third of the corpus costs
     one row a task; its occurrences are joined against one row, a join that Spark splits.
     """
-    small_batches(docs.sparkSession)
     key = F.xxhash64(F.col(text_col))
     lines = F.split(F.col(text_col), "\n", -1)
     windows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("key"), F.posexplode(_windows(lines, window)).alias("pos", "w"))
@@ -69,14 +45,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     later = occurrences.join(repeated, ["x", "y"]).filter(~place.eqNullSafe(F.col("first")))
     covered = later.groupBy(F.col("id").alias("_w_id"), F.col("key").alias("_w_key")).agg(F.collect_set("pos").alias("_w_starts"))
 
+    # the lines cross the join as an array, so that expressions after it index them in place
     added = ("n_lines", "n_removed", "removed_spans")
-    kept = docs.select([c for c in docs.columns if c not in added])
-    joined = kept.join(covered, F.col(id_col).eqNullSafe(F.col("_w_id")) & (key == F.col("_w_key")), "left")
-    cut = _cut(F.when(F.col("_w_starts").isNotNull(), F.col(text_col)), F.col("_w_starts"), F.lit(window))
-    joined = joined.withColumn("_w_cut", cut)
+    names = [c for c in docs.columns if c not in added]
+    kept = docs.select(*[(lines if c == text_col else F.col(c)).alias(f"c{i}") for i, c in enumerate(names)], F.col(id_col).alias("_id"), key.alias("_key"))
+    joined = kept.join(covered, F.col("_id").eqNullSafe(F.col("_w_id")) & (F.col("_key") == F.col("_w_key")), "left")
+    own = F.col(f"c{names.index(text_col)}")
+    last = F.size(own) - 1
+    gone = F.coalesce(F.array_distinct(F.flatten(F.transform("_w_starts", lambda p: F.sequence(p, F.least(p + (window - 1), last))))), F.array().cast("array<int>"))
+    left = F.array_except(F.sequence(F.lit(0), last), gone)
+    text = F.array_join(F.when(F.col("_w_starts").isNull(), own).otherwise(F.transform(left, lambda i: F.get(own, i))), "\n")
+    firsts = F.array_sort(F.array_except(gone, F.transform(gone, lambda p: p + 1)))
+    lasts = F.array_sort(F.array_except(gone, F.transform(gone, lambda p: p - 1)))
+    spans = F.transform(F.arrays_zip(firsts.alias("first"), lasts.alias("last")), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
     return joined.select(
-        *[F.coalesce("_w_cut.text", text_col).alias(c) if c == text_col else F.col(c) for c in kept.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
-        F.coalesce("_w_cut.n", F.lit(0)).alias("n_removed"),
-        F.coalesce("_w_cut.spans", F.array().cast("array<struct<first:int,last:int>>")).alias("removed_spans"),
+        *[(text if c == text_col else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)],
+        F.when(own.isNull(), 0).otherwise(F.size(own)).alias("n_lines"),
+        F.size(gone).alias("n_removed"),
+        spans.alias("removed_spans"),
     )
