@@ -101,7 +101,7 @@ class Model:
 
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
     """Log of the indicators' smoothed shares of class 1 over those of class 0."""
-    counts = [np.bincount(np.concatenate([np.zeros(0, np.int64), *[r for r, v in zip(rows, y, strict=True) if v == k]]), minlength=PLACES) + smooth for k in (0, 1)]
+    counts = [np.bincount(np.concatenate([np.zeros(0, np.int32), *[r for r, v in zip(rows, y, strict=True) if v == k]]), minlength=PLACES) + smooth for k in (0, 1)]
     return np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
 
 
@@ -189,8 +189,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     own = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_text"))
     # at most max_rows ids and labels are broadcast
     picked = own.join(F.broadcast(sample), F.col("_d") == F.col("_id")).select("_id", "_y", F.xxhash64("_text").alias("k"), places("_text").alias("p"))
-    got = picked.orderBy("_id", "k").limit(max_rows).toArrow()
-    return fit([np.asarray(p, np.int64) for p in got.column("p").to_pylist()], np.array(got.column("_y").to_pylist(), np.int64))
+    got = picked.orderBy("_id", "k").limit(max_rows).select("_y", "p").toArrow().combine_chunks()
+    lists = got.column("p").combine_chunks()
+    ends = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy(zero_copy_only=False)
+    return fit([flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], got.column("_y").to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
