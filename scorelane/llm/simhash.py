@@ -274,6 +274,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDE, COMPARED, TABLES = 6, 4, 16
 #: Bits of each anchor block in which two documents may differ.
 SLIP = 1
+#: Tables searched first; what they link is one label in the others, so that large groups cost few links.
+EARLY = 3
 
 
 def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
@@ -310,11 +312,11 @@ def bit_limit(similarity: float) -> int:
     return int(n * p + 1.1 * np.sqrt(n * p * (1 - p)))
 
 
-def _wide_stars(node: np.ndarray, f: np.ndarray, limit: int) -> np.ndarray:
-    """Star links (node, smallest linked node) of one anchor."""
+def _wide_stars(label: np.ndarray, f: np.ndarray, limit: int) -> np.ndarray:
+    """Star links (label, linked label) of one anchor, without those of a label to itself."""
     left, right = [], []
     first = limit / COMPARED + 3.5 * np.sqrt(limit / COMPARED)
-    for at in range(0, len(node) - 1, 256):
+    for at in range(0, len(label) - 1, 256):
         rest = f[at:]
         near = np.bitwise_count(f[at : at + 256, None, 0] ^ rest[None, :, 0]) <= first
         i, j = np.nonzero(near)
@@ -324,9 +326,9 @@ def _wide_stars(node: np.ndarray, f: np.ndarray, limit: int) -> np.ndarray:
         right.append(at + j[far <= limit])
     if not left:
         return np.zeros((0, 2), np.int64)
-    root = _roots(len(node), np.concatenate(left), np.concatenate(right))
-    hit = np.flatnonzero(root != np.arange(len(node)))
-    return np.stack([node[hit], node[root[hit]]], axis=1)
+    root = label[_roots(len(label), np.concatenate(left), np.concatenate(right))]
+    hit = np.flatnonzero(root != label)
+    return np.unique(np.stack([label[hit], root[hit]], axis=1), axis=0)
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -351,16 +353,16 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = work.save(rows.select("id", *[F.col("f")[w].alias(n) for w, n in enumerate(names)]), "fingerprints")
     nodes = work.save(rows.groupBy(*names).agg(F.min("id").alias("node")), "distinct")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch], tables: range) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 f = np.stack([c.to_numpy() for c in part.columns[1:]], axis=1)
                 bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")
-                for t in range(TABLES):
+                for t in tables:
                     block = bits[:, t * BLOCK : (t + 1) * BLOCK].astype(np.int64) @ (1 << np.arange(BLOCK))
                     row, anchor, _ = _expand(block, np.full(len(block), SLIP), SLIP)
-                    yield pa.RecordBatch.from_arrays([pa.array((t << 12 | anchor).astype(np.int32)), part.column(0).take(pa.array(row)), *[pa.array(f[row, w]) for w in range(COMPARED)]], ["anchor", "node", *names[:COMPARED]])
+                    yield pa.RecordBatch.from_arrays([pa.array((t << 12 | anchor).astype(np.int32)), part.column(0).take(pa.array(row)), *[pa.array(f[row, w]) for w in range(COMPARED)]], ["anchor", "label", *names[:COMPARED]])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -387,10 +389,15 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     longs = lambda cols: ", ".join(f"{c} long" for c in cols)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = nodes.select("node", *names).mapInArrow(spread, f"anchor int, node long, {longs(names[:COMPARED])}")
-    found = placed.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
-    classes = connected_components(found, "a", "b", work)
-    named = nodes.join(classes, "node", "left").select(*[F.col(n).alias(f"_{n}") for n in names], F.coalesce("component", "node").alias("component_id"))
+    labels = nodes.withColumn("label", F.col("node"))
+    for tables in (range(EARLY), range(EARLY, TABLES)):
+        placed = labels.select("label", *names).mapInArrow(lambda batches, tables=tables: spread(batches, tables), f"anchor int, label long, {longs(names[:COMPARED])}")
+        found = placed.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
+        classes = connected_components(found, "a", "b", work).withColumnRenamed("node", "_label")
+        joined = labels.join(classes, F.col("label") == F.col("_label"), "left").withColumn("label", F.coalesce("component", "label"))
+        labels = work.save(joined.select("node", "label", *names), "labels")
+    least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
+    named = labels.join(least, "label").select(*[F.col(n).alias(f"_{n}") for n in names], "component_id")
     same = reduce(and_, (F.col(n) == F.col(f"_{n}") for n in names))
     return rows.join(named, same).select(F.col("id").alias(id_col), "component_id")
 
