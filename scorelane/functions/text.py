@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SYMBOLS = "ABCDEFGHIJKLMNOP"
 Z95 = 1.959963984540054
@@ -19,30 +20,34 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "), r"^ | $", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def casefolded(texts: pd.Series) -> pd.Series:
     """Case-folded text with white space squeezed; JVM functions have no full case folding."""
     return texts.map(lambda t: None if t is None else " ".join(t.casefold().split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc_casefolded(texts: pd.Series) -> pd.Series:
     """As casefolded, after NFKC normalisation."""
     return texts.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
 
+def _fields(struct: Column, *names: str) -> Column:
+    return F.named_struct(*[x for n in names for x in (F.lit(n), struct[n])])
+
+
 def sorted_options(options: Column) -> Column:
     """Options by id, each with its keys in alphabetical order."""
-    return F.array_sort(F.transform(options, lambda o: F.struct(o["id"].alias("id"), o["label"].alias("label"), o["description"].alias("description"))))
+    return F.array_sort(F.transform(options, lambda o: _fields(o, "id", "label", "description")))
 
 
 def canonical_request(context: Column, question: Column, options: Column) -> Column:
     """JSON of a request that doesn't depend on the order of its options; null descriptions stay."""
-    ordered = F.transform(sorted_options(options), lambda o: F.struct(o["description"].alias("description"), o["id"].alias("id"), o["label"].alias("label")))
-    return F.to_json(F.struct(context.alias("context"), ordered.alias("options"), question.alias("question")), {"ignoreNullFields": "false"})
+    ordered = F.transform(sorted_options(options), lambda o: _fields(o, "description", "id", "label"))
+    return F.to_json(F.named_struct(F.lit("context"), context, F.lit("options"), ordered, F.lit("question"), question), {"ignoreNullFields": "false"})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _reencoded(payloads: pd.Series) -> pd.Series:
     return payloads.map(lambda p: None if p is None else json.dumps(json.loads(p), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
 
