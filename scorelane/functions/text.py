@@ -102,3 +102,26 @@ def wilson(hits: Column, n: Column) -> tuple[Column, Column]:
 def python_digest(value: object) -> str:
     """SHA-256 of the canonical JSON of a Python value."""
     return hashlib.sha256(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
+def redacted(message: Column, most: int = 2000) -> Column:
+    """A message without credentials in URLs, headers, assignments or bearer words, cut to ``most`` characters."""
+    rules = [
+        (r"(?i)([a-z][a-z0-9+.-]*://)[^/@\s]*@", "$1[redacted]@"),
+        (r"(?i)([a-z][a-z0-9+.-]*://[^\s?#]*)\?[^\s#]*", "$1?[redacted]"),
+        (r"(?i)(authorization\s*[:=]\s*)[^\r\n]*", "$1[redacted]"),
+        (r"(?i)\b(bearer\s+)[^\s]+", "$1[redacted]"),
+        (r"(?i)\b([\w-]*(?:token|secret|password|api_?key)[\w-]*\s*[=:]\s*)[^\s,;]+", "$1[redacted]"),
+        (r"\bhf_[A-Za-z0-9]+", "[redacted]"),
+    ]
+    for pattern, to in rules:
+        message = F.regexp_replace(message, pattern, to)
+    return F.left(message, F.lit(most))
+
+
+def left_padded(ids: Column, width: int, pad: int) -> tuple[Column, Column, Column]:
+    """Ids filled up on the left, the mask of real ids, and positions that start at zero after the filling."""
+    gap = F.greatest(F.lit(width) - F.size(ids), F.lit(0))
+    zeros = F.array_repeat(F.lit(0), gap)
+    positions = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.greatest(i - gap, F.lit(0)))
+    return F.concat(F.array_repeat(F.lit(pad), gap), ids), F.concat(zeros, F.transform(ids, lambda _: F.lit(1))), positions

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelane.functions import text as T
-from scorelane.operators import calibration, metrics, records, rules, scoring, stats
+from scorelane.operators import calibration, generate, metrics, records, rules, scoring, stats
 from scorelane.plans import derive
 from scorelane.streaming import events as streams
 
@@ -385,3 +385,37 @@ def _(spark, sf):
 @query("s14_streamed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def _(spark, sf):
     return streams.hourly(spark, sf).withColumn("total", F.round("total", 6))
+
+
+DRAW = "(('0x' || substr(sha256('gen:{0}:' || id), 1, 8))::BIGINT % {1})"
+
+
+@query("r09_generated", f"WITH g AS (SELECT id, {DRAW.format('family', 4)} AS family, {DRAW.format('ask', 2)} = 0 AS largest, " + ", ".join(f"{DRAW.format(f'amount{i}', 100)} * 3 + {i} AS v{i}" for i in range(3)) + " FROM range(5000) r(id)) SELECT *, CASE CASE WHEN largest THEN greatest(v0, v1, v2) ELSE least(v0, v1, v2) END WHEN v0 THEN 'o0' WHEN v1 THEN 'o1' ELSE 'o2' END AS answer FROM g")
+def _(spark, sf):
+    return generate.comparisons(spark, 5000, "gen")
+
+
+@query("r12_schedule", f"""WITH {RECORDS}, a AS (SELECT record_id, row_number() OVER (ORDER BY {RANK}, record_id) - 1 AS i FROM records WHERE answer_id = 'high'), b AS (SELECT record_id, row_number() OVER (ORDER BY {RANK}, record_id) - 1 AS i FROM records WHERE answer_id = 'low'),
+s AS (SELECT a.record_id, a.i AS step, 0 AS stream FROM a UNION ALL SELECT b.record_id, a.i, 1 FROM a JOIN b ON b.i = a.i % (SELECT count(*) FROM b))
+SELECT record_id, step, stream::INT AS stream, ((step * 2 + stream) // 4)::BIGINT AS update, ((step * 2 + stream) % 4)::INT AS slot FROM s""")
+def _(spark, sf):
+    rows = derive.records(spark, sf).withColumn("rank", T.rank("select", 7, F.col("doc_id")))
+    return generate.interleave([rows.filter("answer_id = 'high'"), rows.filter("answer_id = 'low'")], ["rank", "record_id"], [False, True])
+
+
+@query("a25_panel_digests", f"WITH {RECORDS}, g AS (SELECT dataset_id, source_group_id, sha256(string_agg(record_id, chr(10) ORDER BY record_id)) AS d FROM records GROUP BY ALL) SELECT dataset_id, sha256(string_agg(d, chr(10) ORDER BY source_group_id, d)) AS digest FROM g GROUP BY 1")
+def _(spark, sf):
+    return generate.panel_digest(derive.records(spark, sf), "dataset_id", "source_group_id", "record_id")
+
+
+@query("l02_group_representatives", f"WITH {RECORDS}, g AS (SELECT source_group_id FROM records GROUP BY 1 ORDER BY sha256('groups:3:' || source_group_id) LIMIT 8) SELECT source_group_id, min_by(record_id, {RANK}) AS record_id FROM records SEMI JOIN g USING (source_group_id) GROUP BY 1")
+def _(spark, sf):
+    rows = derive.records(spark, sf)
+    top = rows.select("source_group_id").distinct().orderBy(T.rank("groups", 3, F.col("source_group_id"))).limit(8)
+    return rows.join(top, "source_group_id", "left_semi").groupBy("source_group_id").agg(F.min_by("record_id", T.rank("select", 7, F.col("doc_id"))).alias("record_id"))
+
+
+@query("a20_order_range", f"WITH {RECORDS}, {scored_sql(orders=True)}, o AS (SELECT dataset_id, order_index, avg(correct) AS a FROM s GROUP BY ALL) SELECT dataset_id, round(min(a), 9) AS least, round(max(a), 9) AS most FROM o GROUP BY 1")
+def _(spark, sf):
+    per = turned(spark, sf).groupBy("dataset_id", "order_index").agg(F.avg("correct").alias("a"))
+    return rounded(per.groupBy("dataset_id").agg(F.min("a").alias("least"), F.max("a").alias("most")), "least", "most")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelane.functions import text as T
-from scorelane.operators import calibration, components, metrics, records, rules, scoring, stats
+from scorelane.operators import calibration, components, generate, metrics, records, rules, scoring, stats
 from scorelane.operators.workspace import Workspace
 from scorelane.sources import readers
 
@@ -151,3 +151,18 @@ def test_text_sources(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"a":null,"z":1}'
     with pytest.raises(Exception, match="(?i)exists"):
         readers.write_canonical(rows, str(tmp_path / "out"), ["z"])
+
+
+def test_truth_table_form_ignores_names():
+    table = {(0, 0): "x", (0, 1): "y", (1, 0): "x"}
+    swapped = {(b, 1 - a): {"x": "q", "y": "p"}[v] for (a, b), v in table.items()}
+    assert generate.truth_table_form([2, 2], table) == generate.truth_table_form([2, 2], swapped)
+    assert generate.truth_table_form([2, 2], table) != generate.truth_table_form([2, 2], {**table, (1, 1): "z"})
+
+
+def test_redaction_and_padding(spark):
+    rows = spark.createDataFrame([("get https://u:p@h/x?k=v#f api_key=abc, Bearer zzz hf_ABC", [7, 8])], "m string, ids array<int>")
+    ids, mask, at = T.left_padded(F.col("ids"), 4, 9)
+    got = rows.select(T.redacted(F.col("m")), ids, mask, at).first()
+    assert got[0] == "get https://[redacted]@h/x?[redacted]#f api_key=[redacted], Bearer [redacted] [redacted]"
+    assert list(got)[1:] == [[9, 9, 7, 8], [0, 0, 1, 1], [0, 0, 0, 1]]
