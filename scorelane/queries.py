@@ -382,9 +382,9 @@ def _(spark, sf):
     )
 
 
-@query("s14_streamed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+@query("s14_streamed_counts", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def _(spark, sf):
-    return streams.hourly(spark, sf).withColumn("total", F.round("total", 6))
+    return streams.hourly(spark, sf).withColumn("total", F.round("total", 6)).withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
 
 
 DRAW = "(('0x' || substr(sha256('gen:{0}:' || id), 1, 8))::BIGINT % {1})"
