@@ -278,18 +278,25 @@ SLIP = 1
 EARLY = 3
 
 
-def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
-    """WIDE words of 64 bits: the signs of WIDE * 64 sums over the distinct word shingles."""
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; empty without words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not tokens:
-        return np.zeros(WIDE, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     end = np.cumsum(size + 1) - 1
     start = end - size
     k = min(words, len(tokens))
     spans = zip(start[: len(tokens) - k + 1].tolist(), end[k - 1 :].tolist(), strict=True)
-    h = np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64))
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64))
+
+
+def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
+    """WIDE words of 64 bits: the signs of WIDE * 64 sums over the distinct word shingles."""
+    h = shingle_set(text, words)
+    if not len(h):
+        return np.zeros(WIDE, np.uint64)
     ones = np.zeros((WIDE, 64), np.int64)
     for w in range(WIDE):
         z = h + np.uint64((w + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
@@ -302,33 +309,76 @@ def wide_fingerprint(text: str | None, words: int = 5) -> np.ndarray:
 
 
 def bit_limit(similarity: float) -> int:
-    """Differing bits, of those compared, up to which two documents are taken for this similar.
+    """Differing bits, of those compared, up to which two documents may be this similar.
 
     Sets of equal size and Jaccard similarity s have the cosine 2s / (1 + s); each bit differs with
-    the probability of their angle over pi. A little over one standard deviation is granted.
+    the probability of their angle over pi. Three standard deviations are granted: pairs found are
+    held against their shingles afterwards, so a wide limit costs time and never a false link.
     """
     p = np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi
     n = 64 * COMPARED
-    return int(n * p + 1.1 * np.sqrt(n * p * (1 - p)))
+    return int(n * p + 3 * np.sqrt(n * p * (1 - p)))
+
 
+def _forest(part: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of the links of a spanning forest over the parts, fewest differing bits first.
 
-def _wide_stars(label: np.ndarray, f: np.ndarray, limit: int) -> np.ndarray:
-    """Star links (label, linked label) of one anchor, without those of a label to itself."""
-    left, right = [], []
-    first = limit / COMPARED + 3.5 * np.sqrt(limit / COMPARED)
-    for at in range(0, len(label) - 1, 256):
+    Each round joins every part by its best link; links have a strict order, so none closes a ring.
+    """
+    order = np.lexsort((b, a, bits))
+    u, v, at = part[a[order]], part[b[order]], np.arange(len(a))
+    chosen = []
+    while True:
+        apart = u != v
+        u, v, at = u[apart], v[apart], at[apart]
+        if not len(at):
+            return order[np.concatenate([np.zeros(0, np.int64), *chosen])]
+        best = np.full(len(part), len(a))
+        np.minimum.at(best, u, at)
+        np.minimum.at(best, v, at)
+        take = np.flatnonzero((best[u] == at) | (best[v] == at))
+        chosen.append(at[take])
+        root = _roots(len(part), u[take], v[take])
+        u, v = root[u], root[v]
+
+
+def _wide_links(node: np.ndarray, label: np.ndarray, f: np.ndarray, limit: int) -> np.ndarray:
+    """Links (node, node) of one anchor between rows of different labels: a spanning forest of all within the limit."""
+    n, first = len(node), limit / COMPARED + 3.5 * np.sqrt(limit / COMPARED)
+    part = np.unique(label, return_inverse=True)[1]
+    left, right, bits = (np.zeros(0, np.int64) for _ in range(3))
+    for at in range(0, n - 1, 256):
         rest = f[at:]
         near = np.bitwise_count(f[at : at + 256, None, 0] ^ rest[None, :, 0]) <= first
+        near &= part[at : at + 256, None] != part[None, at:]
         i, j = np.nonzero(near)
         i, j = i[i < j], j[i < j]
         far = sum(np.bitwise_count(f[at + i, w] ^ rest[j, w]).astype(np.int64) for w in range(COMPARED))
-        left.append(at + i[far <= limit])
-        right.append(at + j[far <= limit])
-    if not left:
-        return np.zeros((0, 2), np.int64)
-    root = label[_roots(len(label), np.concatenate(left), np.concatenate(right))]
-    hit = np.flatnonzero(root != label)
-    return np.unique(np.stack([label[hit], root[hit]], axis=1), axis=0)
+        hit = far <= limit
+        if hit.any():
+            left, right, bits = np.append(left, at + i[hit]), np.append(right, at + j[hit]), np.append(bits, far[hit])
+            keep = _forest(part, left, right, bits)
+            left, right, bits = left[keep], right[keep], bits[keep]
+    return np.stack([np.minimum(node[left], node[right]), np.maximum(node[left], node[right])], axis=1)
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose texts have this Jaccard similarity of word shingles or more, by their whole sets.
+
+    Where several texts bear one id, any two of them that are similar are enough.
+    """
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts], dtype=object)
+
+    ends = pairs.select(F.col("a").alias("_end")).union(pairs.select("b")).distinct()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ends, F.col("_id") == F.col("_end"), "left_semi").distinct()
+    sets = texts.select("_id", shingles("_text").alias("set"))
+    left, right = sets.toDF("a", "_sa"), sets.toDF("b", "_sb")
+    both = F.size(F.array_intersect("_sa", "_sb"))
+    alike = F.coalesce(F.try_divide(both, F.size("_sa") + F.size("_sb") - both), F.lit(1.0))
+    return pairs.join(left, "a").join(right, "b").filter(alike >= similarity).select("a", "b").distinct()
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -338,7 +388,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits is an anchor space of the Golay code: a document goes to the anchors within covering radius
     plus SLIP of the block, and documents of one anchor are compared over all compared bits. Near
     copies agree up to SLIP bits in at least one block with a probability of about 0.87, 0.96 and
-    0.99 at similarities of 0.8, 0.85 and 0.9. Documents without words are one class.
+    0.99 at similarities of 0.8, 0.85 and 0.9; many others meet as well. An anchor returns a spanning
+    forest of what may be similar, closest first, never its pairs, and each of these links is held
+    against the whole sets of shingles. Equal wide fingerprints are one document to the search.
+    Documents without words are one class.
     """
     small_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "similar")
@@ -357,20 +410,22 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                f = np.stack([c.to_numpy() for c in part.columns[1:]], axis=1)
+                f = np.stack([c.to_numpy() for c in part.columns[2:]], axis=1)
                 bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")
                 for t in tables:
                     block = bits[:, t * BLOCK : (t + 1) * BLOCK].astype(np.int64) @ (1 << np.arange(BLOCK))
                     row, anchor, _ = _expand(block, np.full(len(block), SLIP), SLIP)
-                    yield pa.RecordBatch.from_arrays([pa.array((t << 12 | anchor).astype(np.int32)), part.column(0).take(pa.array(row)), *[pa.array(f[row, w]) for w in range(COMPARED)]], ["anchor", "label", *names[:COMPARED]])
+                    yield pa.RecordBatch.from_arrays([pa.array((t << 12 | anchor).astype(np.int32)), *[c.take(pa.array(row)) for c in part.columns[:2]], *[pa.array(f[row, w]) for w in range(COMPARED)]], ["anchor", "node", "label", *names[:COMPARED]])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def close() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            stars = _wide_stars(t.column(1).to_numpy(), np.stack([c.to_numpy() for c in t.columns[2:]], axis=1).view(np.uint64), limit) if t.num_rows > 1 else np.zeros((0, 2), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(stars[:, 0]), pa.array(stars[:, 1])], ["a", "b"])
+            pairs = np.zeros((0, 2), np.int64)
+            if t.num_rows > 1:
+                pairs = _wide_links(t.column(1).to_numpy(), t.column(2).to_numpy(), np.stack([c.to_numpy() for c in t.columns[3:]], axis=1).view(np.uint64), limit)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         own = None
         for batch in batches:
@@ -391,9 +446,12 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = nodes.withColumn("label", F.col("node"))
     for tables in (range(EARLY), range(EARLY, TABLES)):
-        placed = labels.select("label", *names).mapInArrow(lambda batches, tables=tables: spread(batches, tables), f"anchor int, label long, {longs(names[:COMPARED])}")
-        found = placed.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
-        classes = connected_components(found, "a", "b", work).withColumnRenamed("node", "_label")
+        placed = labels.select("node", "label", *names).mapInArrow(lambda batches, tables=tables: spread(batches, tables), f"anchor int, node long, label long, {longs(names[:COMPARED])}")
+        found = placed.repartition(parts, "anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "a long, b long").distinct()
+        linked = work.save(similar_pairs(docs, work.save(found, "found"), id_col, text_col, words, similarity), "linked")
+        own = labels.select("node", "label")
+        ends = linked.join(own.toDF("a", "la"), "a").join(own.toDF("b", "lb"), "b").filter("la <> lb").select("la", "lb").distinct()
+        classes = connected_components(ends, "la", "lb", work).withColumnRenamed("node", "_label")
         joined = labels.join(classes, F.col("label") == F.col("_label"), "left").withColumn("label", F.coalesce("component", "label"))
         labels = work.save(joined.select("node", "label", *names), "labels")
     least = labels.groupBy("label").agg(F.min("node").alias("component_id"))

@@ -124,6 +124,55 @@ def test_keep_one_of_similar(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_similar_classes_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r["doc_id"]: set(simhash.shingle_set(r["text"]).tolist()) for r in docs.collect()}
+    r = random.Random(4)
+    base = [f"w{r.randint(0, 99999)}" for _ in range(120)]
+    for i, changed in enumerate(range(0, 12)):  # similarities on both sides of the threshold
+        words = base.copy()
+        for at in range(changed):
+            words[at * 10 + 3] = f"other{i}"
+        sets[10**6 + i] = set(simhash.shingle_set(" ".join(words)).tolist())
+        docs = docs.unionByName(spark.createDataFrame([(10**6 + i, " ".join(words))], "doc_id long, text string"), allowMissingColumns=True)
+    ids = sorted(sets)
+    at = {}
+    for i in ids:
+        for h in sets[i]:
+            at.setdefault(h, []).append(i)
+    label = {i: i for i in ids}
+    near = {(a, b) for a in ids for b in {x for h in sets[a] for x in at[h][:400]} if a < b} | {(a, b) for x in at.values() if len(x) > 400 for a in x for b in x if a < b}
+    near |= {(a, b) for a in ids for b in ids if a < b and not sets[a] and not sets[b]}
+    links = [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in ids:
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    assert dict(map(tuple, simhash.similar_classes(docs).collect())) == label
+
+
+def test_forest_joins_closest_first():
+    r = np.random.default_rng(5)
+    a, b = r.integers(0, 40, (2, 600))
+    bits = r.integers(0, 9, 600)
+    keep = simhash._forest(np.arange(40), a, b, bits)
+    assert len(keep) == 40 - len(set(simhash._roots(40, a, b).tolist()))
+    for limit in range(9):
+        some = keep[bits[keep] <= limit]
+        every = bits <= limit
+        assert (simhash._roots(40, a[some], b[some]) == simhash._roots(40, a[every], b[every])).all()
+
+
+def test_similar_pairs_with_repeated_ids_and_blanks(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    docs = frame(spark, [(1, text, "s"), (1, "something else", "s"), (2, text + " more", "s"), (3, None, "s"), (4, " ", "s"), (5, "x y", "s")])
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (2, 5), (3, 5)], "a long, b long")
+    got = simhash.similar_pairs(docs, pairs, "doc_id", "text", 5, 0.8)
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (3, 4)]
+
+
 def test_pack_and_random_access():
     r = np.random.default_rng(0)
     for n in (0, 1, 511, 512, 513, 4000):
