@@ -274,6 +274,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 WIDE, COMPARED, TABLES = 6, 4, 16
 #: Bits of each anchor block in which two documents may differ.
 SLIP = 1
+#: Pairs of rows that an anchor compares at once; bounds memory.
+PAIRS = 1 << 19
 #: Tables searched first; what they link is one label in the others, so that large groups cost few links.
 EARLY = 3
 
@@ -343,22 +345,34 @@ def _forest(part: np.ndarray, a: np.ndarray, b: np.ndarray, bits: np.ndarray) ->
 
 
 def _wide_links(node: np.ndarray, label: np.ndarray, f: np.ndarray, limit: int) -> np.ndarray:
-    """Links (node, node) of one anchor between rows of different labels: a spanning forest of all within the limit."""
+    """Links (node, node) of one anchor between rows of different labels: a spanning forest of all within the limit.
+
+    Rows are compared a few at a time with all that follow. A link inside a tree whose links are
+    all closer can't improve it and isn't sorted, so a large group of copies costs little memory.
+    """
     n, first = len(node), limit / COMPARED + 3.5 * np.sqrt(limit / COMPARED)
     part = np.unique(label, return_inverse=True)[1]
     left, right, bits = (np.zeros(0, np.int64) for _ in range(3))
-    for at in range(0, n - 1, 256):
+    tree, widest = np.arange(n), np.full(n, limit + 1)
+    step = max(1, PAIRS // n)
+    for at in range(0, n - 1, step):
         rest = f[at:]
-        near = np.bitwise_count(f[at : at + 256, None, 0] ^ rest[None, :, 0]) <= first
-        near &= part[at : at + 256, None] != part[None, at:]
+        near = np.bitwise_count(f[at : at + step, None, 0] ^ rest[None, :, 0]) <= first
+        near &= part[at : at + step, None] != part[None, at:]
         i, j = np.nonzero(near)
         i, j = i[i < j], j[i < j]
-        far = sum(np.bitwise_count(f[at + i, w] ^ rest[j, w]).astype(np.int64) for w in range(COMPARED))
-        hit = far <= limit
+        far = np.zeros(len(i), np.int64)
+        for w in range(COMPARED):
+            far += np.bitwise_count(f[at + i, w] ^ rest[j, w])
+        ti, tj = tree[part[at + i]], tree[part[at + j]]
+        hit = (far <= limit) & ((ti != tj) | (far < widest[ti]))
         if hit.any():
             left, right, bits = np.append(left, at + i[hit]), np.append(right, at + j[hit]), np.append(bits, far[hit])
             keep = _forest(part, left, right, bits)
             left, right, bits = left[keep], right[keep], bits[keep]
+            tree = _roots(n, part[left], part[right])
+            widest = np.zeros(n, np.int64)
+            np.maximum.at(widest, tree[part[left]], bits)
     return np.stack([np.minimum(node[left], node[right]), np.maximum(node[left], node[right])], axis=1)
 
 
