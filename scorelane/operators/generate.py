@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import permutations, product
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelane.operators import records
+
 
 def draw(salt: str, row: Column, field: str, n: int) -> Column:
     """A number from 0 to n - 1 that a digest of (salt, field, row) gives."""
@@ -33,10 +35,9 @@ def interleave(streams: list[DataFrame], order: list[str], cycles: list[bool], w
     """One schedule of several streams: step i takes row i of each; streams that cycle start again.
 
     Streams have the columns record_id and ``order``; steps are as many as the longest stream that
-    doesn't cycle has rows. Numbers and counts come from windows over one stream each, which are
-    schedules a trainer reads in order. Adds update (steps go ``width`` to one) and slot.
+    doesn't cycle has rows. Adds update (steps go ``width`` to one) and slot.
     """
-    numbered = [s.select("record_id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("i"), F.lit(k).alias("stream")) for k, s in enumerate(streams)]
+    numbered = [s.select("record_id", F.col("i").cast("long"), F.lit(k).alias("stream")) for k, s in enumerate(records.numbered(s, order, "i") for s in streams)]
     sizes = [n.agg(F.count("*").alias("n")) for n in numbered]
     most = None
     for size, cycle in zip(sizes, cycles, strict=True):

@@ -127,3 +127,38 @@ def exposure(rows: DataFrame, columns: list[str]) -> DataFrame:
     name = F.coalesce(*[F.when(F.col(f"_{c}") == 0, F.lit(c)) for c in columns])
     value: Column = F.coalesce(*[F.when(F.col(f"_{c}") == 0, F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in columns])
     return out.select(name.alias("column"), value.alias("value"), "n")
+
+
+def strata(orders: DataFrame, columns: list[str]) -> DataFrame:
+    """Per value of each column, in one pass: records, those right in the given order and in all, and flips."""
+    first = F.max(F.when(F.col("order_index") == 0, F.col("correct"))).alias("original")
+    rows = orders.groupBy("record_id", *columns).agg(first, F.min("correct").alias("every"), (F.min("top_option_id") != F.max("top_option_id")).cast("int").alias("flipped"))
+    return rows.groupingSets([[F.col(c)] for c in columns], *columns).agg(F.count("*").alias("n"), F.sum("original").alias("original"), F.sum("every").alias("every"), F.sum("flipped").alias("flips"))
+
+
+def unique_maxima(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Share of rows with a single best option, and the accuracy among these (null if none)."""
+    return rows.groupBy(*by).agg(F.avg((~F.col("tied")).cast("int")).alias("coverage"), F.avg(F.when(~F.col("tied"), F.col("correct"))).alias("accuracy"))
+
+
+def known_sum(x: Column) -> Column:
+    """A sum that is unknown (null) once any term is."""
+    return F.when(F.count(x) == F.count("*"), F.sum(x))
+
+
+def pairs_of_models(rows: DataFrame, models: list[str], by: list[str]) -> DataFrame:
+    """Every two models (left before right) over the records both have: rows, equal winners, both right.
+
+    Rows hold model, record_id, top_option_id and correct. A record meets itself once a pair of models,
+    so the join grows with the number of models and never with that of records squared.
+    """
+    left = rows.select("record_id", *by, F.col("model").alias("left_model"), F.col("top_option_id").alias("_l"), F.col("correct").alias("_lc"))
+    right = rows.select("record_id", F.col("model").alias("right_model"), F.col("top_option_id").alias("_r"), F.col("correct").alias("_rc"))
+    both = left.filter(F.col("left_model").isin(models)).join(right.filter(F.col("right_model").isin(models)), "record_id").filter("left_model < right_model")
+    return both.groupBy("left_model", "right_model", *by).agg(F.count("*").alias("n"), F.sum((F.col("_l") == F.col("_r")).cast("int")).alias("agree"), F.sum(F.col("_lc") * F.col("_rc")).alias("both_correct"))
+
+
+def winner_table(orders: DataFrame, n: int) -> DataFrame:
+    """One row a record that has all n orders: the winner under each."""
+    got = orders.groupBy("record_id").agg(F.countDistinct("order_index").alias("_n"), *[F.max(F.when(F.col("order_index") == k, F.col("top_option_id"))).alias(f"order_{k}") for k in range(n)])
+    return got.filter(F.col("_n") == n).drop("_n")

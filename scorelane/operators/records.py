@@ -107,3 +107,49 @@ def greedy(rows: DataFrame, strata: str, block: str, order: list[str], quota: in
                 taken += 1
                 out.append(tuple(r[c] for c in (strata, block, *order)))
     return out
+
+
+def lowest_rank(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """One row a key, the first by ``order``."""
+    return first_per(rows, key, order).drop("place")
+
+
+def not_one_to_one(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """Values (side, value, others) that meet more than one value of the other column."""
+    pairs = rows.select(left, right).distinct()
+    found = [pairs.groupBy(F.col(a).cast("string").alias("value")).agg(F.count(b).alias("others")).filter("others > 1").select(F.lit(a).alias("side"), "value", "others") for a, b in ((left, right), (right, left))]
+    return found[0].unionByName(found[1])
+
+
+def separation(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key, the number of its values that both sides hold; zero where they are apart."""
+    found = [left.select(F.col(k).alias("v")).intersect(right.select(F.col(k).alias("v"))).agg(F.count("*").alias("shared")).select(F.lit(k).alias("key"), "shared") for k in keys]
+    return reduce(DataFrame.unionByName, found)
+
+
+def excluded(rows: DataFrame, *blocked: tuple[DataFrame, str]) -> DataFrame:
+    """Rows that none of the (frame, column) lists names; null values are never named."""
+    for frame, column in blocked:
+        rows = rows.join(frame.select(column).distinct(), column, "left_anti")
+    return rows
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows numbered from 0 in order, without gathering them: ranges are sorted and counted apart.
+
+    Only one count a range meets in one task. The ranges are written, so a repeated task sees the same.
+    """
+    placed = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    placed = Workspace(rows.sparkSession, "numbered").save(placed, "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").agg(F.count("*").alias("_n")).select(F.col("_range").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = placed.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return inside.join(starts, F.col("_range") == F.col("_at")).withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_range", "_at", "_start", "_place")
+
+
+def balanced(rows: DataFrame, group: str, label: str, labels: list[str], group_rank: Column, order: list[Column]) -> DataFrame:
+    """Groups that hold every label, dealt to the labels in turn by rank; of each, the first row of its label."""
+    full = rows.filter(F.col(label).isin(labels)).groupBy(group).agg(F.countDistinct(label).alias("k")).filter(F.col("k") == len(labels))
+    dealt = numbered(full.select(F.col(group).alias("_g"), group_rank.alias("_rank")), ["_rank", "_g"], "_i")
+    dealt = dealt.select("_g", F.element_at(F.array(*map(F.lit, labels)), (F.col("_i") % len(labels) + 1).cast("int")).alias("_label"))
+    return first_per(rows.join(dealt, (F.col(group) == F.col("_g")) & (F.col(label) == F.col("_label"))), [group], order).drop("place", "_g", "_label")

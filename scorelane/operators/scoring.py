@@ -91,3 +91,13 @@ def parity(single: DataFrame, batch: DataFrame, key: str, most_logit: float = 0.
     both = one.join(two, key).select(key, gap("l1", "l2").alias("logit_gap"), gap("p1", "p2").alias("prob_gap"), (F.col("t1") == F.col("t2")).alias("same_top"))
     why = F.array_compact(F.array(F.when(F.col("logit_gap") > most_logit, F.lit("logit")), F.when(F.col("prob_gap") > most_prob, F.lit("probability"))))
     return both.withColumn("reasons", F.array_join(why, ","))
+
+
+def both_directions(options: Column) -> Column:
+    """All cyclic orders and those of the reversed list, each once, in order of first appearance."""
+    return F.array_distinct(F.concat(rotations(options), rotations(F.reverse(options))))
+
+
+def presentation_id(namespace: str, record: Column, order: Column) -> Column:
+    """Digest of a namespace, a record and the order of its option ids."""
+    return F.sha2(F.concat(F.lit(namespace), F.lit("|"), record, F.lit("|"), F.array_join(order, ",")), 256)

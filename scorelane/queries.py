@@ -419,3 +419,111 @@ def _(spark, sf):
 def _(spark, sf):
     per = turned(spark, sf).groupBy("dataset_id", "order_index").agg(F.avg("correct").alias("a"))
     return rounded(per.groupBy("dataset_id").agg(F.min("a").alias("least"), F.max("a").alias("most")), "least", "most")
+
+
+@query("a14_unique_maxima", f"WITH {RECORDS}, {scored_sql()} SELECT dataset_id, round(avg((NOT tied)::INT), 9) AS coverage, round(avg(correct) FILTER (NOT tied), 9) AS accuracy FROM s GROUP BY 1")
+def _(spark, sf):
+    return rounded(metrics.unique_maxima(state(spark, sf), ["dataset_id"]), "coverage", "accuracy")
+
+
+@query("a18_strata", f"WITH {RECORDS}, {scored_sql(orders=True)}, q AS (SELECT record_id, dataset_id, source_group_id, max(correct) FILTER (order_index = 0) AS original, min(correct) AS every, (min(top) <> max(top))::INT AS flipped FROM s GROUP BY ALL) SELECT dataset_id, source_group_id, count(*) AS n, sum(original)::BIGINT AS original, sum(every)::BIGINT AS every, sum(flipped)::BIGINT AS flips FROM q GROUP BY GROUPING SETS ((dataset_id), (source_group_id))")
+def _(spark, sf):
+    return metrics.strata(turned(spark, sf), ["dataset_id", "source_group_id"])
+
+
+@query("a24_known_sums", "SELECT source, CASE WHEN count(quality) = count(*) THEN sum(quality)::BIGINT END AS quality FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def _(spark, sf):
+    both = derive.table(spark, sf, "documents").select("doc_id", "source").join(derive.table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return both.groupBy("source").agg(metrics.known_sum(F.col("quality")).alias("quality"))
+
+
+STATES = ("base", "control", "treatment")
+
+
+@query("j10_state_pairs", f"WITH {RECORDS}, {', '.join(scored_sql(f's_{x}', x) for x in STATES)}, every AS ({' UNION ALL '.join(f"SELECT '{x}' AS model, record_id, dataset_id, top, correct FROM s_{x}" for x in STATES)}) SELECT l.model AS left_model, r.model AS right_model, l.dataset_id, count(*) AS n, sum((l.top = r.top)::INT)::BIGINT AS agree, sum(l.correct * r.correct)::BIGINT AS both_correct FROM every l JOIN every r ON l.record_id = r.record_id AND l.model < r.model GROUP BY ALL")
+def _(spark, sf):
+    parts = [state(spark, sf, x).select(F.lit(x).alias("model"), "record_id", "dataset_id", "top_option_id", "correct") for x in STATES]
+    return metrics.pairs_of_models(parts[0].union(parts[1]).union(parts[2]), list(STATES), ["dataset_id"])
+
+
+@query("j13_exclusions", "SELECT doc_id, source, sha256(text) AS digest FROM documents WHERE source NOT IN (SELECT source FROM documents GROUP BY 1 HAVING min(doc_id) % 2 = 0) AND sha256(text) NOT IN (SELECT sha256(text) FROM documents SEMI JOIN labels USING (doc_id) WHERE text IS NOT NULL)")
+def _(spark, sf):
+    docs = derive.table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
+    sources = docs.groupBy("source").agg(F.min("doc_id").alias("least")).filter("least % 2 = 0")
+    labelled = docs.join(derive.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return records.excluded(docs, (sources, "source"), (labelled, "digest")).select("doc_id", "source", "digest")
+
+
+@query("j15_pool_overlap", "SELECT sha256(text) AS request_hash, count(DISTINCT source) AS sides, count(*) AS n FROM documents GROUP BY 1 HAVING count(DISTINCT source) > 1")
+def _(spark, sf):
+    return records.crossing(derive.splits(spark, sf), ["request_hash"], "source")
+
+
+@query("j25_winner_table", f"WITH {RECORDS}, {scored_sql(orders=True)} SELECT record_id, " + ", ".join(f"max(top) FILTER (order_index = {k}) AS order_{k}" for k in range(3)) + " FROM s GROUP BY 1 HAVING count(DISTINCT order_index) = 3")
+def _(spark, sf):
+    return metrics.winner_table(turned(spark, sf), 3)
+
+
+@query("d01_conflicts", "SELECT min(doc_id) AS doc_id, min_by(source, doc_id) AS source, min(source) <> max(source) AS conflict FROM documents GROUP BY text")
+def _(spark, sf):
+    docs = derive.table(spark, sf, "documents").select("doc_id", "source", F.sha2("text", 256).alias("key"))
+    return records.dedup(docs, ["key"], ["doc_id"], "source", "mark").drop("key")
+
+
+@query("d04_lowest_rank", f"SELECT doc_id, request_hash FROM (SELECT doc_id, sha256(text) AS request_hash, row_number() OVER (PARTITION BY sha256(text) ORDER BY {RANK}, doc_id) AS place FROM documents) WHERE place = 1")
+def _(spark, sf):
+    docs = derive.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("request_hash"))
+    return records.lowest_rank(docs, ["request_hash"], [T.rank("select", 7, F.col("doc_id")), F.col("doc_id")])
+
+
+@query("d06_not_one_to_one", "WITH p AS (SELECT DISTINCT lang, source FROM documents) SELECT 'lang' AS side, lang AS value, count(source) AS others FROM p GROUP BY 2 HAVING count(source) > 1 UNION ALL SELECT 'source', source, count(lang) FROM p GROUP BY 2 HAVING count(lang) > 1")
+def _(spark, sf):
+    return records.not_one_to_one(derive.table(spark, sf, "documents"), "lang", "source")
+
+
+@query("o06_both_directions", f"WITH {RECORDS} SELECT record_id, order_ids FROM records, (VALUES ('high,low,mid'), ('low,mid,high'), ('mid,high,low'), ('mid,low,high'), ('low,high,mid'), ('high,mid,low')) o(order_ids)")
+def _(spark, sf):
+    orders = F.explode(scoring.both_directions(F.array(*map(F.lit, derive.IDS))))
+    return derive.records(spark, sf).select("record_id", orders.alias("o")).select("record_id", F.array_join("o", ",").alias("order_ids"))
+
+
+@query("o09_presentation_ids", f"WITH {RECORDS} SELECT record_id, k::INT AS order_index, sha256('panel|' || record_id || '|' || o) AS presentation_id, (list_position(string_split(o, ','), answer_id) - 1)::INT AS gold_index FROM records, (VALUES (0, 'high,low,mid'), (1, 'low,mid,high'), (2, 'mid,high,low')) t(k, o)")
+def _(spark, sf):
+    rows = derive.presentations(derive.records(spark, sf), "base")
+    return rows.select("record_id", "order_index", scoring.presentation_id("panel", F.col("record_id"), F.col("ids")).alias("presentation_id"), (F.array_position("ids", F.col("answer_id")) - 1).cast("int").alias("gold_index"))
+
+
+@query("l08_balanced_groups", f"WITH {RECORDS}, g AS (SELECT source_group_id, row_number() OVER (ORDER BY sha256('deal:5:' || source_group_id), source_group_id) - 1 AS i FROM records GROUP BY 1 HAVING count(DISTINCT answer_id) = 2), d AS (SELECT source_group_id, CASE i % 2 WHEN 0 THEN 'high' ELSE 'low' END AS answer_id FROM g) SELECT source_group_id, answer_id, min_by(record_id, ({RANK}, record_id)) AS record_id FROM records JOIN d USING (source_group_id, answer_id) GROUP BY ALL")
+def _(spark, sf):
+    rows = derive.records(spark, sf).withColumn("rank", T.rank("select", 7, F.col("doc_id")))
+    got = records.balanced(rows, "source_group_id", "answer_id", ["high", "low"], T.rank("deal", 5, F.col("source_group_id")), [F.col("rank"), F.col("record_id")])
+    return got.select("source_group_id", "answer_id", "record_id")
+
+
+@query("l09_first_of_dataset", f"WITH {RECORDS} SELECT dataset_id, record_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY doc_id) AS place FROM records) WHERE place <= 5")
+def _(spark, sf):
+    return records.first_per(derive.records(spark, sf), ["dataset_id"], [F.col("doc_id")], 5).select("dataset_id", "record_id")
+
+
+@query("i10_separation", f"WITH {SPLITS} " + " UNION ALL ".join(f"SELECT '{k}' AS key, count(*) AS shared FROM (SELECT {k} FROM docs WHERE split = 'train' INTERSECT SELECT {k} FROM docs WHERE split = 'test')" for k in ("doc_id", "source", "request_hash")))
+def _(spark, sf):
+    docs = derive.splits(spark, sf)
+    return records.separation(docs.filter("split = 'train'"), docs.filter("split = 'test'"), ["doc_id", "source", "request_hash"])
+
+
+@query("i14_balance", f"WITH {RECORDS} SELECT dataset_id, answer_id, count(*) AS n, max(length(text))::INT AS longest FROM records JOIN documents USING (doc_id) GROUP BY ALL")
+def _(spark, sf):
+    docs = derive.table(spark, sf, "documents").select("doc_id", F.length("text").alias("size"))
+    return derive.records(spark, sf).join(docs, "doc_id").groupBy("dataset_id", "answer_id").agg(F.count("*").alias("n"), F.max("size").alias("longest"))
+
+
+@query("t01_group_deltas", f"WITH {RECORDS}, {scored_sql()}, {scored_sql('c', 'treatment')} SELECT s.source_group_id, round(avg(c.correct) - avg(s.correct), 9) AS delta FROM s JOIN c USING (record_id) GROUP BY 1")
+def _(spark, sf):
+    left, right = (state(spark, sf, x).groupBy("source_group_id").agg(F.avg("correct").alias(x)) for x in ("base", "treatment"))
+    return left.join(right, "source_group_id").select("source_group_id", F.round(F.col("treatment") - F.col("base"), 9).alias("delta"))
+
+
+@query("t15_costs", "SELECT l_returnflag, CAST(ceil(sum(CAST(l_quantity AS DECIMAL(12, 2)) * CAST(l_discount AS DECIMAL(12, 2))) * 100) AS BIGINT) AS cents FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    amount = F.col("l_quantity").cast("decimal(12,2)") * F.col("l_discount").cast("decimal(12,2)")
+    return derive.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.ceil(F.sum(amount) * 100).cast("long").alias("cents"))

@@ -166,3 +166,32 @@ def test_redaction_and_padding(spark):
     got = rows.select(T.redacted(F.col("m")), ids, mask, at).first()
     assert got[0] == "get https://[redacted]@h/x?[redacted]#f api_key=[redacted], Bearer [redacted] [redacted]"
     assert list(got)[1:] == [[9, 9, 7, 8], [0, 0, 1, 1], [0, 0, 0, 1]]
+
+
+def test_numbered_without_gathering(spark):
+    rows = spark.createDataFrame([(x % 7, x) for x in range(3000)] + [(None, -1), (3, None)], "a int, b int")
+    got = {(r["a"], r["b"]): r["i"] for r in records.numbered(rows.repartition(5), ["a", "b"], "i").collect()}
+    want = sorted(got, key=lambda k: (k[0] is not None, k[0] or 0, k[1] is not None, k[1] or 0))
+    assert [got[k] for k in want] == list(range(3002))
+    assert records.numbered(rows.limit(0), ["a", "b"], "i").count() == 0
+
+
+def test_one_to_one_separation_and_exclusion(spark):
+    rows = spark.createDataFrame([("x", 1), ("x", 1), ("y", 2), ("y", 3), (None, 4), (None, None)], "a string, b int")
+    assert {tuple(r) for r in records.not_one_to_one(rows, "a", "b").collect()} == {("a", "y", 2)}
+    assert {tuple(r) for r in records.separation(rows, rows.filter("b = 2"), ["a", "b"]).collect()} == {("a", 1), ("b", 1)}
+    assert records.excluded(rows, (rows.filter("a = 'x' OR a IS NULL"), "a")).count() == 4
+    assert records.separation(rows.limit(0), rows, ["a"]).first()["shared"] == 0
+
+
+def test_winner_table_and_known_sum(spark):
+    rows = spark.createDataFrame([("r", 0, "p"), ("r", 1, "q"), ("s", 0, "p")], "record_id string, order_index int, top_option_id string")
+    assert [tuple(r) for r in metrics.winner_table(rows, 2).collect()] == [("r", "p", "q")]
+    known = spark.createDataFrame([(1, 2), (1, None), (2, 5)], "k int, x int").groupBy("k").agg(metrics.known_sum(F.col("x")).alias("x"))
+    assert {tuple(r) for r in known.collect()} == {(1, None), (2, 5)}
+
+
+def test_both_directions_of_two_and_three(spark):
+    got = spark.range(1).select(*[scoring.both_directions(F.array(*map(F.lit, ids))).alias(ids) for ids in ("ab", "abc")]).first()
+    assert ["".join(o) for o in got["ab"]] == ["ab", "ba"]
+    assert ["".join(o) for o in got["abc"]] == ["abc", "bca", "cab", "cba", "bac", "acb"]
