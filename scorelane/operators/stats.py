@@ -35,6 +35,14 @@ def intervals(deltas: DataFrame, drawn: DataFrame, by: str) -> DataFrame:
     return seen.join(points, by).select(by, "groups", "mean", F.get("p", F.lit(0)).alias("low"), F.get("p", F.lit(1)).alias("high"))
 
 
+def ratio_intervals(groups: DataFrame, drawn: DataFrame, by: str) -> DataFrame:
+    """Ratio of sums over all groups (idx, hits, total) and its interval over draws, each a ratio of sums as well."""
+    point = groups.groupBy(by).agg(F.count("*").alias("groups"), F.try_divide(F.sum("hits"), F.sum("total")).alias("ratio"))
+    each = drawn.join(groups.select(by, "idx", "hits", "total"), [by, "idx"]).groupBy(by, "draw").agg(F.try_divide(F.sum("hits"), F.sum("total")).alias("r"))
+    ends = each.groupBy(by).agg(F.percentile("r", F.array(F.lit(0.025), F.lit(0.975))).alias("e"))
+    return point.join(ends, by).select(by, "groups", "ratio", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))
+
+
 def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
     return rows.withColumn("idx", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("long"))
 
