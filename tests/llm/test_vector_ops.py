@@ -54,6 +54,19 @@ def test_pq_recall(spark, spread):
     assert pq_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_pq_dense_group(spark):
+    """A third of the vectors are distinct near copies, spread over more lists than a few probes reach."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(6000, 64))
+    x[::3] = r.normal(size=64) + 0.23 * r.normal(size=(2000, 64))
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {row["vec_id"]: row for row in pq_dedup.near_duplicates(frame).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.9).sum(axis=1) - 1
+    assert links.sum() > 3_000_000
+    assert [got[i]["n_links"] for i in range(len(x))] == links.tolist()
+
+
 def plain(url, rules):
     host = path = ""
     if url and "://" in url:
