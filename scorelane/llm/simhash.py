@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelane.llm import blocks as B
 from scorelane.llm.common import small_batches
 from scorelane.operators.components import connected_components
 from scorelane.operators.workspace import Workspace
@@ -278,6 +279,8 @@ SLIP = 1
 PAIRS = 1 << 19
 #: Tables searched first; what they link is one label in the others, so that large groups cost few links.
 EARLY = 3
+#: Shingles that a block of a group of candidates holds about.
+HELD = 1 << 20
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -395,6 +398,75 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str,
     return pairs.join(left, "a").join(right, "b").filter(alike >= similarity).select("a", "b").distinct()
 
 
+class Postings:
+    """Which of some sets, given one after the other, hold a hash."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.values, start = np.unique(flat[order], return_index=True)
+        self.start, self.sizes = np.append(start, len(flat)), sizes
+
+    def similarity(self, own: np.ndarray) -> np.ndarray:
+        """Jaccard similarity of a set with each of the sets."""
+        at = np.searchsorted(self.values, own)
+        inside = at < len(self.values)
+        at = at[inside][self.values[at[inside]] == own[inside]]
+        n = self.start[at + 1] - self.start[at]
+        places = np.arange(n.sum()) + np.repeat(self.start[at] - (np.cumsum(n) - n), n)
+        both = np.bincount(self.owner[places], minlength=len(self.sizes))
+        return both / np.maximum(self.sizes + len(own) - both, 1)
+
+
+def group_links(docs: DataFrame, labels: DataFrame, ends: DataFrame, id_col: str, text_col: str, words: int, similarity: float, work: Workspace) -> DataFrame:
+    """Links (la, lb) between the labels of ``labels`` (node, label), complete within groups of candidates.
+
+    ``ends`` (la, lb) join labels that may be similar; all labels reachable over them are one group.
+    In a group all texts of different labels are held against each other by their whole shingle
+    sets. Of a group's labels the one of most nodes doesn't ask, as the others ask it. Groups are
+    split into blocks by the number of shingles; a block returns a forest over labels.
+    """
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts], dtype=object)
+
+    groups = connected_components(ends, "la", "lb", work).select(F.col("node").alias("_label"), F.col("component").alias("group"))
+    nodes = work.save(labels.join(groups, F.col("label") == F.col("_label")).select("node", "label", "group"), "grouped")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(nodes, F.col("_id") == F.col("node"))
+    sets = work.save(texts.select("group", "node", "label", shingles("_text").alias("set")), "sets")
+    sized = sets.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum(F.size("set")).alias("held"))
+    sized = sized.groupBy("group").agg(F.ceil(F.sum("held") / HELD).alias("blocks"), F.max_by("label", F.struct("n", "label")).alias("most"))
+    sized = work.save(sized.select(F.col("group").alias("_group"), F.greatest("blocks", F.lit(1)).cast("int").alias("blocks"), "most"), "sized")
+    rows = sets.join(sized, F.col("group") == F.col("_group"))
+    # the hash of a group and a block is their place; groups that share one are told apart by their number
+    place = lambda b: F.xxhash64("group", b)
+    members = rows.select(place(F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")).alias("block"), F.lit(0).alias("role"), "group", "label", "set")
+    asking = rows.filter("label <> most").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), place)).alias("block"), F.lit(1).alias("role"), "group", "label", "set")
+
+    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return batch.column("set").flatten().to_numpy().view(np.uint64), np.diff(batch.column("set").offsets.to_numpy().astype(np.int64))
+
+    def hold(batch: pa.RecordBatch) -> dict:
+        return {"group": batch.column("group").to_numpy(), "label": batch.column("label").to_numpy(), "sets": Postings(*flat(batch))}
+
+    def meet(m: dict, batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        group, label = batch.column("group").to_numpy(), batch.column("label").to_numpy()
+        names, at = np.unique(np.concatenate([m["label"], label]), return_inverse=True)
+        held, own = at[: len(m["label"])], at[len(m["label"]) :]
+        root, left, right = np.arange(len(names)), [], []
+        hashes, sizes = flat(batch)
+        for i, (end, size) in enumerate(zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)):
+            alike = (m["sets"].similarity(hashes[end - size : end]) >= similarity) & (m["group"] == group[i])
+            for r in np.setdiff1d(root[held[alike]], root[own[i]]).tolist():
+                left.append(names[own[i]])
+                right.append(names[r])
+                root[root == r] = root[own[i]]
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["la", "lb"])
+
+    return B.compare(members.unionByName(asking), hold, meet, "la long, lb long").distinct()
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of all rows with an id: classes of documents about as similar.
 
@@ -403,8 +475,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plus SLIP of the block, and documents of one anchor are compared over all compared bits. Near
     copies agree up to SLIP bits in at least one block with a probability of about 0.87, 0.96 and
     0.99 at similarities of 0.8, 0.85 and 0.9; many others meet as well. An anchor returns a spanning
-    forest of what may be similar, closest first, never its pairs, and each of these links is held
-    against the whole sets of shingles. Equal wide fingerprints are one document to the search.
+    forest of what may be similar, closest first, never its pairs. The links of the first EARLY tables
+    are held against the whole sets of shingles. Where such a link fails, others of its anchor that the
+    forest left out may be true: labels that failed links and those of the other tables join are
+    groups, within which all texts of different labels are held against each other. Equal wide fingerprints are one document to the search.
     Documents without words are one class.
     """
     small_batches(docs.sparkSession)
@@ -459,15 +533,25 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     longs = lambda cols: ", ".join(f"{c} long" for c in cols)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labels = nodes.withColumn("label", F.col("node"))
-    for tables in (range(EARLY), range(EARLY, TABLES)):
-        placed = labels.select("node", "label", *names).mapInArrow(lambda batches, tables=tables: spread(batches, tables), f"anchor int, node long, label long, {longs(names[:COMPARED])}")
-        found = placed.repartition(parts, "anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "a long, b long").distinct()
-        linked = work.save(similar_pairs(docs, work.save(found, "found"), id_col, text_col, words, similarity), "linked")
+
+    def between(pairs: DataFrame) -> DataFrame:
         own = labels.select("node", "label")
-        ends = linked.join(own.toDF("a", "la"), "a").join(own.toDF("b", "lb"), "b").filter("la <> lb").select("la", "lb").distinct()
+        return pairs.join(own.toDF("a", "la"), "a").join(own.toDF("b", "lb"), "b").filter("la <> lb").select("la", "lb").distinct()
+
+    def merged(ends: DataFrame) -> DataFrame:
         classes = connected_components(ends, "la", "lb", work).withColumnRenamed("node", "_label")
         joined = labels.join(classes, F.col("label") == F.col("_label"), "left").withColumn("label", F.coalesce("component", "label"))
-        labels = work.save(joined.select("node", "label", *names), "labels")
+        return work.save(joined.select("node", "label", *names), "labels")
+
+    met = []
+    for tables in (range(EARLY), range(EARLY, TABLES)):
+        placed = labels.select("node", "label", *names).mapInArrow(lambda batches, tables=tables: spread(batches, tables), f"anchor int, node long, label long, {longs(names[:COMPARED])}")
+        found = placed.repartition(parts, "anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "a long, b long").distinct()
+        met.append(work.save(found, "found"))
+        if len(met) == 1:  # the links of the others are held against each other in their groups
+            labels = merged(between(work.save(similar_pairs(docs, met[0], id_col, text_col, words, similarity), "linked")))
+    ends = between(reduce(DataFrame.union, met))
+    labels = merged(work.save(group_links(docs, labels.select("node", "label"), ends, id_col, text_col, words, similarity, work), "linked"))
     least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
     named = labels.join(least, "label").select(*[F.col(n).alias(f"_{n}") for n in names], "component_id")
     same = reduce(and_, (F.col(n) == F.col(f"_{n}") for n in names))

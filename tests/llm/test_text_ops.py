@@ -153,6 +153,27 @@ def test_similar_classes_equal_brute_force(spark):
     assert dict(map(tuple, simhash.similar_classes(docs).collect())) == label
 
 
+def test_similar_classes_in_a_template_group(spark):
+    """Pairs just above the threshold among many documents just below it, whose closest links fail."""
+    r, texts = np.random.default_rng(3), []
+    for i in range(300):
+        if i % 15 == 1:  # shares four of fourteen changes with the one before
+            places = np.concatenate([places[:4], r.permutation(np.setdiff1d(np.arange(166), places))[:10]])
+        else:
+            places = r.permutation(166)[:14]
+        words = [f"w{k}" for k in range(1000)]
+        for k, at in enumerate(places.tolist()):
+            words[6 * at + 2] = f"d{i - (i % 15 == 1 and k < 4)}x{at}"
+        texts.append(" ".join(words))
+    sets = [set(simhash.shingle_set(t).tolist()) for t in texts]
+    a, b = np.triu_indices(300, 1)
+    alike = np.array([len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in zip(a, b, strict=True)])
+    label = simhash._roots(300, a[alike >= 0.8], b[alike >= 0.8])
+    assert 20 <= (alike >= 0.8).sum() <= 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert dict(map(tuple, simhash.similar_classes(docs).collect())) == dict(enumerate(label.tolist()))
+
+
 def test_forest_joins_closest_first():
     r = np.random.default_rng(5)
     a, b = r.integers(0, 40, (2, 600))
