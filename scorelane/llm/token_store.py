@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -144,22 +145,40 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class Encoder:
-    """The tokenizers library, asked once for each match of the vocabulary's own splitting pattern."""
+    """The tokenizers library, asked once for each match of the vocabulary's own splitting pattern.
+
+    Texts that hold one of the vocabulary's added tokens are encoded whole by the library, which
+    looks for these before it splits.
+    """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # matches hold no added token; spares the search for them
         self.pieces = Pieces(pattern, self.encode_matches, b"".join)
 
     def encode_matches(self, matches: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(matches, add_special_tokens=False)]
+        return self._packed(self.tokenizer, matches)
+
+    @staticmethod
+    def _packed(tokenizer: object, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by the end id, and the number of ids of each text."""
-        packed, codes, ends = self.pieces.encoded(texts)
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        packed, codes, ends = self.pieces.encoded(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        if whole.any():
+            codes = np.insert(codes, ends[whole], len(packed) + np.arange(whole.sum()))
+            packed = [*packed, *self._packed(self.whole, texts.filter(pa.array(whole)).to_pylist())]
+            ends = ends + np.cumsum(whole)
         codes = np.insert(codes, ends, len(packed))
         packed = [*packed, struct.pack("<I", end_id)]
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4

@@ -225,6 +225,18 @@ def library():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def test_token_store_added_tokens(spark):
+    """Texts with an added token of the vocabulary get the library's ids of the whole text."""
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "plain text.", "", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext", " two  runs <|endoftext|>\n\nend. "]
+    docs = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in token_store.store(docs, path, P.PATTERN, end_id=0).collect()}
+    for i, t in enumerate([*texts, ""]):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        assert got[i] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_bpe_equals_library(spark, library):
     own = bpe.ranks(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     texts = [*odd_texts(1500), "ab" * 4000, "x" * 64, "x" * 65, "é" * 700]
