@@ -62,11 +62,16 @@ def request_hash(context: Column, question: Column, options: Column, control_saf
     return F.sha2(_reencoded(payload) if control_safe else payload, 256)
 
 
-def prompt(context: Column, question: Column, options: Column) -> Column:
+@F.pandas_udf(StringType())
+def _rewritten(payloads: pd.Series) -> pd.Series:
+    return payloads.map(lambda p: None if p is None else json.dumps(json.loads(p), ensure_ascii=False, separators=(",", ":")))
+
+
+def prompt(context: Column, question: Column, options: Column, control_safe: bool = False) -> Column:
     """A request as JSON in the order given, options under letters, and the answer line."""
     shown = F.transform(options, lambda o, i: F.struct(F.substring(F.lit(SYMBOLS), i + 1, F.lit(1)).alias("symbol"), o["label"].alias("label"), o["description"].alias("description")))
     body = F.to_json(F.struct(context.alias("context"), question.alias("question"), shown.alias("options")), {"ignoreNullFields": "false"})
-    return F.concat(body, F.lit("\nAnswer:\n"))
+    return F.concat(_rewritten(body) if control_safe else body, F.lit("\nAnswer:\n"))
 
 
 def rank(namespace: str, seed: int, *parts: Column) -> Column:

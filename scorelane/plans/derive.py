@@ -48,6 +48,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).join(docs, F.col("doc_id") == F.col("_d")).drop("_d").withColumn("question", F.lit(QUESTION)).withColumn("options", options)
 
 
+def whole_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``requests``, with the whole text as context."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("_text"))
+    rows = requests(spark, sf_dir).drop("context")
+    return rows.join(docs, F.col("doc_id") == F.col("_d")).withColumnRenamed("_text", "context").drop("_d")
+
+
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the split of their source and a digest of their text."""
     from scorelane.functions.text import split_slot

@@ -207,6 +207,18 @@ def _(spark, sf):
     return rows.select("record_id", T.prompt(F.col("context"), F.col("question"), F.col("options")).alias("prompt"))
 
 
+@query("f02_whole_request_hash")
+def _(spark, sf):
+    rows = derive.whole_requests(spark, sf)
+    return rows.select("record_id", T.request_hash(F.col("context"), F.col("question"), F.reverse("options"), control_safe=True).alias("request_hash"))
+
+
+@query("f09_whole_prompt")
+def _(spark, sf):
+    rows = derive.whole_requests(spark, sf)
+    return rows.select("record_id", T.prompt(F.col("context"), F.col("question"), F.col("options"), control_safe=True).alias("prompt"))
+
+
 @query("f05_normalized_groups")
 def _(spark, sf):
     texts = derive.table(spark, sf, "documents").select("doc_id", T.nfkc_casefolded("text").alias("t"))
