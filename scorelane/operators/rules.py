@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INSUFFICIENT, NO_ROUTE, NO_TOOL = "insufficient_information", "no_route", "no_tool"
+INSUFFICIENT, NO_ROUTE, NO_TOOL = "insufficient_information", "no_route", "no_eligible_tool"
 
 
 def solve_routing(queries: DataFrame, domains: DataFrame, rules: DataFrame, features: list[str]) -> DataFrame:
@@ -29,7 +29,7 @@ def solve_tools(scenarios: DataFrame) -> DataFrame:
 
     scenarios has required array<string>, input string, permissions array<string>, granted
     array<boolean> (null: unknown) and tools array<struct<id, capabilities, inputs, needs, cost>>.
-    A tie of the cheapest gives the outcome "tie"; no tool that fits gives no_tool.
+    A tie of the cheapest gives the outcome "tie"; no tool that fits gives no_eligible_tool.
     """
     unknown = F.transform(F.filter(F.arrays_zip(F.col("permissions").alias("p"), F.col("granted").alias("g")), lambda z: z["g"].isNull()), lambda z: z["p"])
     known = F.transform(F.filter(F.arrays_zip(F.col("permissions").alias("p"), F.col("granted").alias("g")), lambda z: z["g"]), lambda z: z["p"])

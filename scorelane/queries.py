@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelane.functions import text as T
 from scorelane.operators import calibration, generate, metrics, records, rules, scoring, stats
 from scorelane.plans import derive
+from scorelane.registry import QUERIES, SQL, query
 from scorelane.streaming import events as streams
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 NAMES = ("accuracy", "macro_f1", "nll", "brier", "ece", "coverage", "accepted_risk", "aurc")
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in names})
 
@@ -378,7 +364,7 @@ def _(spark, sf):
     return rules.solve_routing(q, domains, table, ["size", "parity"])
 
 
-@query("r02_tools", "WITH q AS (SELECT s_suppkey AS id, s_suppkey % 3 AS a, s_suppkey % 4 AS c FROM supplier), cases AS (SELECT id, a, c, g FROM q JOIN (VALUES (true), (false)) t(g) ON a = 2 OR (a = 1) = g), fits AS (SELECT id, CASE WHEN g AND c < 3 THEN 'fast' WHEN c < 2 THEN 'slow' ELSE 'no_tool' END AS o FROM cases) SELECT id AS scenario_id, CASE WHEN min(o) = max(o) THEN min(o) ELSE 'insufficient_information' END AS outcome FROM fits GROUP BY 1")
+@query("r02_tools", "WITH q AS (SELECT s_suppkey AS id, s_suppkey % 3 AS a, s_suppkey % 4 AS c FROM supplier), cases AS (SELECT id, a, c, g FROM q JOIN (VALUES (true), (false)) t(g) ON a = 2 OR (a = 1) = g), fits AS (SELECT id, CASE WHEN g AND c < 3 THEN 'fast' WHEN c < 2 THEN 'slow' ELSE 'no_eligible_tool' END AS o FROM cases) SELECT id AS scenario_id, CASE WHEN min(o) = max(o) THEN min(o) ELSE 'insufficient_information' END AS outcome FROM fits GROUP BY 1")
 def _(spark, sf):
     key = F.col("s_suppkey")
     tool = lambda i, caps, needs, cost: F.struct(F.lit(i).alias("id"), F.array(*map(F.lit, caps)).alias("capabilities"), F.array(F.lit("text")).alias("inputs"), F.array(*map(F.lit, needs)).cast("array<string>").alias("needs"), F.lit(cost).alias("cost"))
