@@ -153,3 +153,9 @@ def balanced(rows: DataFrame, group: str, label: str, labels: list[str], group_r
     dealt = numbered(full.select(F.col(group).alias("_g"), group_rank.alias("_rank")), ["_rank", "_g"], "_i")
     dealt = dealt.select("_g", F.element_at(F.array(*map(F.lit, labels)), (F.col("_i") % len(labels) + 1).cast("int")).alias("_label"))
     return first_per(rows.join(dealt, (F.col(group) == F.col("_g")) & (F.col(label) == F.col("_label"))), [group], order).drop("place", "_g", "_label")
+
+
+def representatives(rows: DataFrame, group: str, group_rank: Column, n: int, order: list[Column]) -> DataFrame:
+    """Of the n groups of the smallest rank, the first row by ``order``."""
+    top = rows.select(group, group_rank.alias("_rank")).distinct().orderBy("_rank", group).limit(n).select(group)
+    return first_per(rows.join(top, group, "left_semi"), [group], order).drop("place")

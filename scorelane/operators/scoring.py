@@ -101,3 +101,19 @@ def both_directions(options: Column) -> Column:
 def presentation_id(namespace: str, record: Column, order: Column) -> Column:
     """Digest of a namespace, a record and the order of its option ids."""
     return F.sha2(F.concat(F.lit(namespace), F.lit("|"), record, F.lit("|"), F.array_join(order, ",")), 256)
+
+
+def calibration_status(profile: Column) -> Column:
+    """Whether a calibration profile was named."""
+    return F.when(profile.isNull(), "uncalibrated").otherwise("profile_id_supplied")
+
+
+def orders(options: Column, only_given: Column | None = None) -> Column:
+    """Orders in which options are shown: all of two or three, the rotations of four, eight or sixteen.
+
+    Other numbers of options raise; rows for which ``only_given`` is true keep the given order.
+    """
+    n = F.size(options)
+    wrong = F.raise_error(F.concat(F.lit("no orders for "), n.cast("string"), F.lit(" options"))).cast("array<array<string>>")
+    out = F.when(n == 2, permutations(options, 2)).when(n == 3, permutations(options, 3)).when(n.isin(4, 8, 16), rotations(options)).otherwise(wrong)
+    return out if only_given is None else F.when(only_given, F.array(options)).otherwise(out)

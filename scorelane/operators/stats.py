@@ -23,7 +23,7 @@ def bank(spark: SparkSession, seed: int, sizes: list[tuple[str, int]], draws: in
 def hashed_bank(groups: DataFrame, by: str, draws: int) -> DataFrame:
     """(by, draw, idx): as many hash-drawn group numbers a draw as the task has groups; groups has (by, n)."""
     drawn = groups.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select(by, "n", "draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("pos"))
-    head = F.substring(F.sha2(F.concat_ws(":", F.col(by), "draw", "pos"), 256), 1, 7)
+    head = F.substring(F.sha2(F.concat_ws(":", F.col(by), "draw", "pos"), 256), 1, 15)
     return drawn.select(by, "draw", (F.conv(head, 16, 10).cast("long") % F.col("n")).alias("idx"))
 
 

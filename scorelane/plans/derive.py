@@ -107,3 +107,35 @@ def tool_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(_named("c", _byte(key, "r") % 3)).alias("required_capabilities"), _named("i", _byte(key, "n") % 2).alias("input_type"), granted.alias("permission_values"),
     )
     return table(spark, sf_dir, "part").select(key.alias("scenario_id"), scenario.alias("scenario"))
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presentations (three rotations of each record) with identity, question and the digest of their prompt; the context is the record's name."""
+    from scorelane.functions.text import prompt, request_hash
+
+    rows = presentations(records(spark, sf_dir), "base").withColumnRenamed("ids", "order_ids")
+    options = F.transform("order_ids", lambda i: F.struct(i.alias("id"), F.initcap(i).alias("label"), F.lit(None).cast("string").alias("description")))
+    rows = rows.withColumn("options", options).withColumn("presentation_id", F.concat_ws(":", F.lit("panel"), "record_id", "order_index"))
+    shown = prompt(F.col("record_id"), F.lit(QUESTION), F.col("options"))
+    hashed = request_hash(F.col("record_id"), F.lit(QUESTION), F.col("options"))
+    return rows.select("presentation_id", "record_id", "dataset_id", "source_group_id", hashed.alias("request_hash"), "order_index", "order_ids", F.sha2(shown, 256).alias("prompt_sha256"), "logits", "answer_id", "doc_id")
+
+
+def scored_panel(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFrame:
+    """Outputs for the panel; with ``faulty``, rows are missing, doubled or changed by the number of their document."""
+    from scorelane.operators.scoring import winner
+
+    rows = panel(spark, sf_dir).withColumnRenamed("logits", "candidate_logits").withColumn("input_tokens", F.length("prompt_sha256") + F.col("order_index"))
+    rows = rows.withColumn("winner_option_id", winner(F.col("order_ids"), F.col("candidate_logits"))).drop("answer_id")
+    if not faulty:
+        return rows.drop("doc_id")
+    k, first = F.col("doc_id"), F.col("order_index") == 0
+    rows = rows.filter(~((k % 7 == 0) & first))
+    rows = rows.withColumns(
+        {
+            "dataset_id": F.when((k % 11 == 0) & first, "other").otherwise(F.col("dataset_id")), "winner_option_id": F.when((k % 13 == 0) & first, "none").otherwise(F.col("winner_option_id")),
+            "input_tokens": F.when((k % 17 == 0) & first, 4096).otherwise(F.col("input_tokens")), "prompt_sha256": F.when((k % 19 == 0) & first, "0").otherwise(F.col("prompt_sha256")),
+            "candidate_logits": F.when((k % 23 == 0) & first, F.slice("candidate_logits", 1, 2)).otherwise(F.col("candidate_logits")),
+        }
+    )
+    return rows.union(rows.filter((k % 29 == 0) & first)).drop("doc_id")

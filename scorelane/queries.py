@@ -321,12 +321,12 @@ def _deltas(spark, sf):
 
 
 @query("t03_bootstrap", f"""{DELTAS}, n AS (SELECT count(*) AS n FROM deltas),
-drawn AS (SELECT d AS draw, ('0x' || substr(sha256('quality:' || d || ':' || p), 1, 7))::BIGINT % n AS idx FROM n, range(200) r(d), (SELECT unnest(range(n)) AS p FROM n)),
+drawn AS (SELECT d AS draw, ('0x' || substr(sha256('quality:' || d || ':' || p), 1, 15))::BIGINT % n AS idx FROM n, range(2000) r(d), (SELECT unnest(range(n)) AS p FROM n)),
 means AS (SELECT draw, avg(delta) AS m FROM drawn JOIN deltas USING (idx) GROUP BY 1)
 SELECT 'quality' AS task, (SELECT count(*) FROM deltas) AS groups, round((SELECT avg(delta) FROM deltas), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM means""")
 def _(spark, sf):
     deltas = _deltas(spark, sf)
-    drawn = stats.hashed_bank(deltas.groupBy("task").agg(F.count("*").alias("n")), "task", 200)
+    drawn = stats.hashed_bank(deltas.groupBy("task").agg(F.count("*").alias("n")), "task", 2000)
     return rounded(stats.intervals(deltas, drawn, "task"), "mean", "low", "high")
 
 
@@ -528,11 +528,11 @@ def _(spark, sf):
 
 
 @query("t04_ratio_bootstrap", f"""WITH {RECORDS}, {scored_sql()}, g AS (SELECT row_number() OVER (ORDER BY source_group_id) - 1 AS idx, hits, total FROM (SELECT source_group_id, sum(correct)::DOUBLE AS hits, count(*)::DOUBLE AS total FROM s GROUP BY 1)), n AS (SELECT count(*) AS n FROM g),
-drawn AS (SELECT d AS draw, ('0x' || substr(sha256('quality:' || d || ':' || p), 1, 7))::BIGINT % n AS idx FROM n, range(200) r(d), (SELECT unnest(range(n)) AS p FROM n)),
+drawn AS (SELECT d AS draw, ('0x' || substr(sha256('quality:' || d || ':' || p), 1, 15))::BIGINT % n AS idx FROM n, range(2000) r(d), (SELECT unnest(range(n)) AS p FROM n)),
 ratios AS (SELECT draw, sum(hits) / sum(total) AS r FROM drawn JOIN g USING (idx) GROUP BY 1)
 SELECT 'quality' AS task, (SELECT n FROM n) AS groups, round((SELECT sum(hits) / sum(total) FROM g), 9) AS ratio, round(quantile_cont(r, 0.025), 9) AS low, round(quantile_cont(r, 0.975), 9) AS high FROM ratios""")
 def _(spark, sf):
     sums = state(spark, sf).groupBy("source_group_id").agg(F.sum("correct").alias("hits"), F.count("*").alias("total"))
     groups = stats.numbered(sums.withColumn("task", F.lit("quality")), "task", "source_group_id")
-    drawn = stats.hashed_bank(groups.groupBy("task").agg(F.count("*").alias("n")), "task", 200)
+    drawn = stats.hashed_bank(groups.groupBy("task").agg(F.count("*").alias("n")), "task", 2000)
     return rounded(stats.ratio_intervals(groups, drawn, "task"), "ratio", "low", "high")
