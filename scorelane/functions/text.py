@@ -52,6 +52,11 @@ def _reencoded(payloads: pd.Series) -> pd.Series:
     return payloads.map(lambda p: None if p is None else json.dumps(json.loads(p), ensure_ascii=False, sort_keys=True, separators=(",", ":")))
 
 
+def canonical(payload: Column) -> Column:
+    """A JSON text with the keys of every object in order, written as Python does (control characters, numbers)."""
+    return _reencoded(payload)
+
+
 def request_hash(context: Column, question: Column, options: Column, control_safe: bool = False) -> Column:
     """SHA-256 of the canonical request.
 
@@ -89,6 +94,11 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
+def sha256_hex(value: Column) -> Column:
+    """A digest of 64 hex digits in lower case; null if it isn't one."""
+    return F.when(value.rlike("^[0-9A-Fa-f]{64}$"), F.lower(value))
+
+
 def confidence_bin(p: Column, bins: int = 10) -> Column:
     """Number of the half-open bin [i / bins, (i + 1) / bins) of p, the last one closed, by comparison."""
     return sum((p >= F.lit(i / bins)).cast("int") for i in range(1, bins))
@@ -109,17 +119,19 @@ def python_digest(value: object) -> str:
     return hashlib.sha256(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
+#: What a message may not show, and what stands in its place, in order.
+REDACTED = [
+    (r"""(?iU)(https?://)(?:[^\s<>"'/?#]*@)?([^\s<>"'?#]*?)(?:[?#][^\s<>"']*?)?([.,;:!?)\]}]*)(?=[\s<>"']|$)""", "$1$2$3"),
+    (r"(?iU)\b(authorization\s*[:=]\s*)(?:bearer|basic)\s+[^\s,;)}\]]+", "$1[REDACTED]"),
+    (r"""(?iU)\b(?:[\w.-]*(?:token|secret|password|passwd)|api[_-]?key|authorization)\s*[:=]\s*(?:"[^"]*"|'[^']*'|[^\s,;)}\]]+)""", "[REDACTED]"),
+    (r"(?iU)\b(bearer|basic)\s+[^\s,;)}\]]+", "$1 [REDACTED]"),
+    (r"(?U)\bhf_[A-Za-z0-9_-]+\b", "[REDACTED]"),
+]
+
+
 def redacted(message: Column, most: int = 2000) -> Column:
-    """A message without credentials in URLs, headers, assignments or bearer words, cut to ``most`` characters."""
-    rules = [
-        (r"(?i)([a-z][a-z0-9+.-]*://)[^/@\s]*@", "$1[redacted]@"),
-        (r"(?i)([a-z][a-z0-9+.-]*://[^\s?#]*)\?[^\s#]*", "$1?[redacted]"),
-        (r"(?i)(authorization\s*[:=]\s*)[^\r\n]*", "$1[redacted]"),
-        (r"(?i)\b(bearer\s+)[^\s]+", "$1[redacted]"),
-        (r"(?i)\b([\w-]*(?:token|secret|password|api_?key)[\w-]*\s*[=:]\s*)[^\s,;]+", "$1[redacted]"),
-        (r"\bhf_[A-Za-z0-9]+", "[redacted]"),
-    ]
-    for pattern, to in rules:
+    """A message without users and queries of URLs, headers, assigned secrets, bearer and basic words and hub tokens, cut to ``most`` characters."""
+    for pattern, to in REDACTED:
         message = F.regexp_replace(message, pattern, to)
     return F.left(message, F.lit(most))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelane.operators.workspace import Workspace
+from scorelane.operators.workspace import Workspace, spread_again
 
 
 def _mark(df: DataFrame) -> tuple[int, int | None]:
@@ -17,8 +17,8 @@ def connected_components(edges: DataFrame, left: str, right: str, work: Workspac
     """(node, component) of every node with an edge to another node; component is the smallest node.
 
     Each round is two aggregations and one join per star, so a hub's neighbours are reduced to
-    their minimum before the shuffle and the join splits the hub's rows as any skewed join. The
-    edges of a round are written to the shared folder. Null ends and loops are ignored; an empty
+    their minimum before the shuffle; the minima are shuffled anew for the join, so that Spark may
+    split the partition that holds a hub's edges. The edges of a round are written to the shared folder. Null ends and loops are ignored; an empty
     frame gives an empty frame. Raises RuntimeError if ``rounds`` do not suffice (they grow with
     the logarithm of the diameter).
     """
@@ -39,7 +39,7 @@ def connected_components(edges: DataFrame, left: str, right: str, work: Workspac
 
 def _nearest(e: DataFrame, key: str, other: str) -> DataFrame:
     least: Column = F.min(other)
-    return e.groupBy(F.col(key).alias("k")).agg(F.least(least, F.first(key)).alias("m"))
+    return spread_again(e.groupBy(F.col(key).alias("k")).agg(F.least(least, F.first(key)).alias("m")), ["k"])
 
 
 def _large_star(e: DataFrame) -> DataFrame:

@@ -49,7 +49,9 @@ def ece(rows: DataFrame, by: list[str]) -> DataFrame:
 def risk_curve(rows: DataFrame, by: list[str], digits: int | None = None) -> DataFrame:
     """Coverage and risk after each distinct confidence, the highest first.
 
-    Confidences are counted before the running sums, so the window sees distinct values.
+    Confidences are counted before the running sums, so the window sees distinct values. ``digits``
+    rounds them first, for comparing with engines whose exponentials differ in the last bit; without
+    it they are told apart as they are. The curve starts at (0, null), a row that isn't given here.
     """
     conf = F.col("confidence") if digits is None else F.round("confidence", digits)
     steps = rows.groupBy(*by, conf.alias("confidence")).agg(F.count("*").alias("k"), F.sum(1 - F.col("correct")).alias("wrong"))
@@ -78,9 +80,15 @@ def macro_report(per_dataset: DataFrame) -> DataFrame:
 
 
 def confusion(rows: DataFrame, by: list[str], labels: list[str]) -> DataFrame:
-    """Counts of gold against predicted, zeros included for the given labels."""
-    got = rows.groupBy(*by, F.col("answer_id").alias("gold")).agg(*[F.sum((F.col("top_option_id") == x).cast("int")).alias(f"pred_{x}") for x in labels])
-    return got
+    """Counts of gold against predicted, a row for each of the given labels in each group, zeros included.
+
+    Gold labels that aren't given get a row where they occur.
+    """
+    gold, every = F.col("answer_id").alias("gold"), F.explode(F.array(*map(F.lit, labels))).alias("gold")
+    there = rows.groupBy(*by, gold).agg(*[F.count_if(F.col("top_option_id") == x).alias(f"pred_{x}") for x in labels])
+    groups = rows.select(*by).distinct().select(*by, every) if by else rows.sparkSession.range(1).select(every)
+    blank = groups.select(*by, "gold", *[F.lit(0).cast("long").alias(f"pred_{x}") for x in labels])
+    return there.unionByName(blank).groupBy(*by, "gold").agg(*[F.sum(f"pred_{x}").alias(f"pred_{x}") for x in labels])
 
 
 def positions(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,3 +141,25 @@ def read_tools(text: Column, rows: list[Template]) -> Column:
 def verified(parsed: Column, scenario: Column, option_ids: Column) -> Column:
     """Whether a prompt reads back as this scenario with these options in order."""
     return F.coalesce(parsed["scenario"].eqNullSafe(scenario) & (parsed["option_ids"] == option_ids), F.lit(False))
+
+
+def compiled(text: Column, options: Column, encode: Callable[[str], list[int]], budget: int = 2048) -> Column:
+    """struct<input_tokens, candidate_ids, fault> of prompts with a number of options under the tokenizer ``encode``.
+
+    Each option's symbol must add exactly one token to the prompt's, and the options' tokens must
+    differ; the prompt may hold ``budget`` tokens. What fails is named and the tokens are still given.
+    """
+    @F.pandas_udf("input_tokens int, candidate_ids array<int>, fault string")
+    def run(texts: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, n in zip(texts, counts, strict=True):
+            ids = encode(t)
+            longer = [encode(t + s) for s in T.SYMBOLS[:n]]
+            single = all(x[:-1] == ids for x in longer)
+            last = [x[-1] for x in longer] if single else []
+            fault = None if single else "a symbol isn't one token"
+            fault = fault or (None if len(set(last)) == len(last) else "symbols share a token") or (None if len(ids) <= budget else "token budget")
+            out.append((len(ids), last, fault))
+        return pd.DataFrame(out, columns=["input_tokens", "candidate_ids", "fault"])
+
+    return run(text, options)

@@ -159,3 +159,45 @@ def representatives(rows: DataFrame, group: str, group_rank: Column, n: int, ord
     """Of the n groups of the smallest rank, the first row by ``order``."""
     top = rows.select(group, group_rank.alias("_rank")).distinct().orderBy("_rank", group).limit(n).select(group)
     return first_per(rows.join(top, group, "left_semi"), [group], order).drop("place")
+
+
+def group_digests(rows: DataFrame, id_col: str, anchors: list[tuple[str, Column]]) -> DataFrame:
+    """(id, group_id): as ``source_groups``, a group named by the SHA-256 of its distinct anchors in order.
+
+    A group's anchors meet in one row, because its name is the digest of them all.
+    """
+    from scorelane.functions.text import canonical
+
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in anchors])
+    pairs = rows.select(F.col(id_col).alias("_id"), F.explode(kinds).alias("a")).filter("a.value IS NOT NULL").select("_id", F.array("a.kind", "a.value").alias("a")).distinct()
+    parts = Workspace(rows.sparkSession, "named").save(source_groups(rows, id_col, anchors), "parts")
+    own = pairs.join(parts, F.col("_id") == F.col(id_col)).groupBy("component").agg(F.array_sort(F.collect_set("a")).alias("every"))
+    named = own.select(F.col("component").alias("_c"), F.sha2(canonical(F.to_json("every")), 256).alias("group_id"))
+    return parts.join(named, F.col("component") == F.col("_c"), "left").select(id_col, "group_id")
+
+
+def source_items(rows: DataFrame, key: list[str], anchors: list[tuple[str, str]], order: list[str], label: str, policy: str = "raise") -> tuple[DataFrame, DataFrame]:
+    """Items of a source and one row of counts.
+
+    Rows of one normalised key are one item: the smallest by ``order``. Anchors (kind, column) of all
+    its rows, labelled or not, tie it to a group. Keys with several labels raise ("raise") or go
+    ("exclude"). Counts: raw, unlabelled and conflicting rows, and pairs of each kind, and groups.
+    """
+    from scorelane.functions.text import canonical
+
+    work = Workspace(rows.sparkSession, "items")
+    rows = work.save(rows.withColumn("_key", canonical(F.to_json(F.array(*key)))), "rows")
+    whole = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *[c for c in rows.columns if c != "_key"]])])
+    per = rows.groupBy("_key").agg(F.min(F.when(F.col(label).isNotNull(), whole)).alias("row"), F.countDistinct(label).alias("labels"), F.count(label).alias("labelled"))
+    per = work.save(per, "keys")
+    if policy == "raise" and not per.filter("labels > 1").isEmpty():
+        raise ValueError("repeated rows have conflicting labels")
+    filled = [(kind, F.nullif(F.col(c), F.lit(""))) for kind, c in anchors]
+    named = work.save(group_digests(rows.select("_key", *dict.fromkeys(c for _, c in anchors)).distinct(), "_key", filled).distinct(), "groups")
+    items = per.filter("labels = 1").join(named, "_key").select(F.sha2("_key", 256).alias("item_id"), "group_id", "row.*")
+    raw = rows.agg(F.count("*").alias("raw_rows"), F.count_if(F.col(label).isNull()).alias("unlabelled_rows"))
+    counts = per.agg(
+        F.count("*").alias("pairs"), F.count_if(F.col("labels") > 1).alias("conflicting_pairs"), F.coalesce(F.sum(F.when(F.col("labels") > 1, F.col("labelled"))), F.lit(0)).alias("conflicting_rows"),
+        F.count_if(F.col("labels") == 1).alias("consistent_pairs"), F.count_if(F.col("labels") == 0).alias("unlabelled_pairs"),
+    )
+    return items, raw.crossJoin(counts).crossJoin(named.agg(F.countDistinct("group_id").alias("groups")))  # one row each

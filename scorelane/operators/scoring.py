@@ -16,7 +16,9 @@ def scored(rows: DataFrame, temperature: float = 1.0, min_confidence: float | No
     """
     out = rows.withColumn("scaled", F.transform("logits", lambda x: x / temperature))
     out = out.withColumn("_most", F.array_max("scaled"))
-    out = out.withColumn("_z", F.log(F.aggregate("scaled", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_most")))))
+    # the smallest first, so that the order of options changes no bit of the sum
+    shares = F.array_sort(F.transform("scaled", lambda x: F.exp(x - F.col("_most"))))
+    out = out.withColumn("_z", F.log(F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)))
     out = out.withColumn("log_probs", F.transform("scaled", lambda x: x - F.col("_most") - F.col("_z")))
     out = out.withColumn("probs", F.transform("log_probs", lambda x: F.exp(x)))
     best = F.filter("ids", lambda _, i: F.get(F.col("scaled"), i) == F.col("_most"))

@@ -41,20 +41,13 @@ def presentations(rows: DataFrame, salt: str) -> DataFrame:
     return turned.withColumn("logits", F.transform("ids", lambda i: logit(F.concat_ws(":", F.col("record_id"), F.col("order_index")), i, salt)))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records with context (the text's first letters, ASCII only), question and options."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), F.regexp_replace(F.substring("text", 1, 40), r"[^A-Za-z ]", "_").alias("context"))
+def whole_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with the whole text as context, a question and options."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("context"))
     options = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(i.title()).alias("label"), F.lit(None).cast("string").alias("description")) for i in IDS])
     return records(spark, sf_dir).join(docs, F.col("doc_id") == F.col("_d")).drop("_d").withColumn("question", F.lit(QUESTION)).withColumn("options", options)
 
 
-def whole_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``requests``, with the whole text as context."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), F.col("text").alias("_text"))
-    rows = requests(spark, sf_dir).drop("context")
-    return rows.join(docs, F.col("doc_id") == F.col("_d")).withColumnRenamed("_text", "context").drop("_d")
-
-
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the split of their source and a digest of their text."""
     from scorelane.functions.text import split_slot

@@ -94,7 +94,7 @@ def _(spark, sf):
     return rounded(metrics.risk_curve(state(spark, sf), [], digits=9).drop("step"), "coverage", "risk")
 
 
-@query("a13_confusion", f"WITH {RECORDS}, {scored_sql()} SELECT dataset_id, answer_id AS gold, " + ", ".join(f"count(*) FILTER (top = '{i}') AS pred_{i}" for i in derive.IDS) + " FROM s GROUP BY ALL")
+@query("a13_confusion", f"WITH {RECORDS}, {scored_sql()} SELECT g.dataset_id, g.gold, " + ", ".join(f"count(*) FILTER (top = '{i}') AS pred_{i}" for i in derive.IDS) + " FROM (SELECT DISTINCT dataset_id, gold FROM records, (VALUES ('high'), ('low'), ('mid')) v(gold)) g LEFT JOIN s ON s.dataset_id = g.dataset_id AND s.answer_id = g.gold GROUP BY ALL")
 def _(spark, sf):
     return metrics.confusion(state(spark, sf), ["dataset_id"], list(derive.IDS))
 
@@ -178,28 +178,17 @@ def _(spark, sf):
     return out.select("record_id", "order_index", F.array_join("ids", ",").alias("order_ids"))
 
 
-PAYLOAD = """'{"context":"' || regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '_', 'g') || '",'"""
+#: A text as a JSON string; control characters as Python writes them.
+QUOTED = "to_json(text)::VARCHAR"
 
 
-@query("f02_request_hash", f"""WITH {RECORDS} SELECT record_id, sha256({PAYLOAD} || '"options":[{{"description":null,"id":"high","label":"High"}},{{"description":null,"id":"low","label":"Low"}},{{"description":null,"id":"mid","label":"Mid"}}],"question":"{derive.QUESTION}"}}') AS request_hash FROM records JOIN documents USING (doc_id)""")
-def _(spark, sf):
-    rows = derive.requests(spark, sf)
-    return rows.select("record_id", T.request_hash(F.col("context"), F.col("question"), F.reverse("options")).alias("request_hash"))
-
-
-@query("f09_prompt", f"""WITH {RECORDS} SELECT record_id, {PAYLOAD} || '"question":"{derive.QUESTION}","options":[{{"symbol":"A","label":"High","description":null}},{{"symbol":"B","label":"Low","description":null}},{{"symbol":"C","label":"Mid","description":null}}]}}' || chr(10) || 'Answer:' || chr(10) AS prompt FROM records JOIN documents USING (doc_id)""")
-def _(spark, sf):
-    rows = derive.requests(spark, sf)
-    return rows.select("record_id", T.prompt(F.col("context"), F.col("question"), F.col("options")).alias("prompt"))
-
-
-@query("f02_whole_request_hash")
+@query("f02_request_hash", f"""WITH {RECORDS} SELECT record_id, sha256('{{"context":' || {QUOTED} || ',"options":[{{"description":null,"id":"high","label":"High"}},{{"description":null,"id":"low","label":"Low"}},{{"description":null,"id":"mid","label":"Mid"}}],"question":"{derive.QUESTION}"}}') AS request_hash FROM records JOIN documents USING (doc_id)""")
 def _(spark, sf):
     rows = derive.whole_requests(spark, sf)
     return rows.select("record_id", T.request_hash(F.col("context"), F.col("question"), F.reverse("options"), control_safe=True).alias("request_hash"))
 
 
-@query("f09_whole_prompt")
+@query("f09_prompt", f"""WITH {RECORDS} SELECT record_id, '{{"context":' || {QUOTED} || ',"question":"{derive.QUESTION}","options":[{{"symbol":"A","label":"High","description":null}},{{"symbol":"B","label":"Low","description":null}},{{"symbol":"C","label":"Mid","description":null}}]}}' || chr(10) || 'Answer:' || chr(10) AS prompt FROM records JOIN documents USING (doc_id)""")
 def _(spark, sf):
     rows = derive.whole_requests(spark, sf)
     return rows.select("record_id", T.prompt(F.col("context"), F.col("question"), F.col("options"), control_safe=True).alias("prompt"))
@@ -249,7 +238,7 @@ def _(spark, sf):
     return records.dedup(docs, ["key"], ["doc_id"], "source").drop("key")
 
 
-GROUPS = """WITH RECURSIVE anchors AS (SELECT doc_id, 't' || lower(text) AS a FROM documents UNION ALL SELECT doc_id, 'p' || left(lower(text), 24) FROM documents),
+GROUPS = """WITH RECURSIVE anchors AS (SELECT doc_id, 't' || lower(text) AS a FROM documents UNION ALL SELECT doc_id, 'p' || lower(string_split(text, chr(10))[1]) FROM documents),
 links AS (SELECT DISTINCT x.doc_id AS u, y.doc_id AS v FROM anchors x JOIN (SELECT a, min(doc_id) AS doc_id FROM anchors GROUP BY a) y USING (a)),
 both_ways AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
 reach AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u)
@@ -258,8 +247,8 @@ SELECT u AS doc_id, min(v) AS component FROM reach GROUP BY 1"""
 
 @query("g01_source_groups", GROUPS)
 def _(spark, sf):
-    docs = derive.table(spark, sf, "documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("t"), F.left(F.lower("text"), F.lit(24)).alias("p"))
-    return records.source_groups(docs, "doc_id", [("text", F.col("t")), ("prefix", F.col("p"))])
+    docs = derive.table(spark, sf, "documents").select("doc_id", F.sha2(F.lower("text"), 256).alias("t"), F.lower(F.split("text", "\n")[0]).alias("p"))
+    return records.source_groups(docs, "doc_id", [("text", F.col("t")), ("line", F.col("p"))])
 
 
 RANK = "sha256('select:7:' || doc_id)"
