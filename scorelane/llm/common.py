@@ -25,10 +25,3 @@ def small_batches(spark: SparkSession) -> None:
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text (null and empty differ)."""
     return F.struct(F.xxhash64(text).alias("x"), F.xxhash64(F.lit(1), text).alias("y"))
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, underscored until no column of ``df`` has it."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name = "_" + name
-    return name

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelane.llm import blocks as B
-from scorelane.llm.common import small_batches
+from scorelane.llm.common import small_batches, text_key
 from scorelane.operators.components import connected_components
 from scorelane.operators.workspace import Workspace
 
@@ -279,8 +279,8 @@ SLIP = 1
 PAIRS = 1 << 19
 #: Tables searched first; what they link is one label in the others, so that large groups cost few links.
 EARLY = 3
-#: Shingles that a block of a group of candidates holds about.
-HELD = 1 << 20
+#: Shingles that a block of a group of candidates holds about, and partners that a block of a hub has at most about.
+HELD, PARTNERS = 1 << 20, 1 << 16
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -379,23 +379,22 @@ def _wide_links(node: np.ndarray, label: np.ndarray, f: np.ndarray, limit: int)
     return np.stack([np.minimum(node[left], node[right]), np.maximum(node[left], node[right])], axis=1)
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose texts have this Jaccard similarity of word shingles or more, by their whole sets.
+def _sets(text: Column, words: int) -> Column:
+    """The sorted shingle hashes of a text as bytes."""
 
-    Where several texts bear one id, any two of them that are similar are enough.
-    """
+    @F.arrow_udf("binary")
+    def shingles(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t, words).tobytes() for t in texts.to_pylist()], pa.binary())
+
+    return shingles(text)
 
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts], dtype=object)
 
-    ends = pairs.select(F.col("a").alias("_end")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(ends, F.col("_id") == F.col("_end"), "left_semi").distinct()
-    sets = texts.select("_id", shingles("_text").alias("set"))
-    left, right = sets.toDF("a", "_sa"), sets.toDF("b", "_sb")
-    both = F.size(F.array_intersect("_sa", "_sb"))
-    alike = F.coalesce(F.try_divide(both, F.size("_sa") + F.size("_sb") - both), F.lit(1.0))
-    return pairs.join(left, "a").join(right, "b").filter(alike >= similarity).select("a", "b").distinct()
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes of a binary column of sets one after the other, and the size of each set."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(raw.tobytes(), np.uint64), np.diff(ends) // 8
 
 
 class Postings:
@@ -403,59 +402,79 @@ class Postings:
 
     def __init__(self, flat: np.ndarray, sizes: np.ndarray):
         order = np.argsort(flat, kind="stable")
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
         self.values, start = np.unique(flat[order], return_index=True)
         self.start, self.sizes = np.append(start, len(flat)), sizes
 
     def similarity(self, own: np.ndarray) -> np.ndarray:
-        """Jaccard similarity of a set with each of the sets."""
+        """Jaccard similarity of a set with each of the sets; two empty sets are equal."""
         at = np.searchsorted(self.values, own)
         inside = at < len(self.values)
         at = at[inside][self.values[at[inside]] == own[inside]]
         n = self.start[at + 1] - self.start[at]
         places = np.arange(n.sum()) + np.repeat(self.start[at] - (np.cumsum(n) - n), n)
         both = np.bincount(self.owner[places], minlength=len(self.sizes))
-        return both / np.maximum(self.sizes + len(own) - both, 1)
+        every = self.sizes + len(own) - both
+        return np.where(every > 0, both / np.maximum(every, 1), 1.0)
 
 
-def group_links(docs: DataFrame, labels: DataFrame, ends: DataFrame, id_col: str, text_col: str, words: int, similarity: float, work: Workspace) -> DataFrame:
-    """Links (la, lb) between the labels of ``labels`` (node, label), complete within groups of candidates.
+def similar_pairs(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose sets (node, set) have this Jaccard similarity or more.
 
-    ``ends`` (la, lb) join labels that may be similar; all labels reachable over them are one group.
-    In a group all texts of different labels are held against each other by their whole shingle
-    sets. Of a group's labels the one of most nodes doesn't ask, as the others ask it. Groups are
-    split into blocks by the number of shingles; a block returns a forest over labels.
+    Of each pair the node with more pairs is the hub. A hub's set is held once in each of its blocks
+    of at most PARTNERS partners, which stream past it, so no set is repeated for every pair.
     """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count("*").alias("d"))
+    known = pairs.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+    of_a = F.col("da") >= F.col("db")
+    edges = known.select(F.when(of_a, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(of_a, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("da", "db").alias("d"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("d") / PARTNERS))
+    edges = edges.select(F.xxhash64("hub", part).alias("block"), F.lit(1).alias("role"), "hub", "node")
+    hubs = edges.select("block", F.lit(0).alias("role"), "hub", F.col("hub").alias("node")).distinct()
+    rows = edges.unionByName(hubs).join(sets.select("node", "set"), "node").select("block", "role", "hub", "node", "set")
 
-    @F.pandas_udf("array<long>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts], dtype=object)
+    def hold(batch: pa.RecordBatch) -> dict[int, Postings]:
+        return {hub: Postings(*_flat(batch.column("set").slice(i, 1))) for i, hub in enumerate(batch.column("hub").to_pylist())}
+
+    def meet(held: dict[int, Postings], batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        hashes, sizes = _flat(batch.column("set"))
+        hub, ends = batch.column("hub").to_pylist(), np.cumsum(sizes)
+        near = [held[h].similarity(hashes[e - n : e])[0] >= similarity for h, e, n in zip(hub, ends.tolist(), sizes.tolist(), strict=True)]
+        kept = batch.filter(pa.array(near, pa.bool_()))
+        return pa.RecordBatch.from_arrays([kept.column("hub"), kept.column("node")], ["a", "b"])
+
+    return B.compare(rows, hold, meet, "a long, b long")
 
+
+def group_links(sets: DataFrame, labels: DataFrame, ends: DataFrame, similarity: float, work: Workspace) -> DataFrame:
+    """Links (la, lb) between the labels of ``labels`` (node, label), complete within groups of candidates.
+
+    ``ends`` (la, lb) join labels that may be similar; all labels reachable over them are one group.
+    In a group all sets of different labels are held against each other. Of a group's labels the one
+    of most nodes doesn't ask, as the others ask it. Groups are split into blocks by the number of
+    shingles; a block returns a forest over labels.
+    """
     groups = connected_components(ends, "la", "lb", work).select(F.col("node").alias("_label"), F.col("component").alias("group"))
-    nodes = work.save(labels.join(groups, F.col("label") == F.col("_label")).select("node", "label", "group"), "grouped")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(nodes, F.col("_id") == F.col("node"))
-    sets = work.save(texts.select("group", "node", "label", shingles("_text").alias("set")), "sets")
-    sized = sets.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum(F.size("set")).alias("held"))
+    nodes = labels.join(groups, F.col("label") == F.col("_label")).select("node", "label", "group")
+    own = work.save(sets.select("node", "set").join(nodes, "node").select("group", "node", "label", "set"), "sets")
+    sized = own.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum(F.length("set") / 8).alias("held"))
     sized = sized.groupBy("group").agg(F.ceil(F.sum("held") / HELD).alias("blocks"), F.max_by("label", F.struct("n", "label")).alias("most"))
     sized = work.save(sized.select(F.col("group").alias("_group"), F.greatest("blocks", F.lit(1)).cast("int").alias("blocks"), "most"), "sized")
-    rows = sets.join(sized, F.col("group") == F.col("_group"))
+    rows = own.join(sized, F.col("group") == F.col("_group"))
     # the hash of a group and a block is their place; groups that share one are told apart by their number
     place = lambda b: F.xxhash64("group", b)
     members = rows.select(place(F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")).alias("block"), F.lit(0).alias("role"), "group", "label", "set")
     asking = rows.filter("label <> most").select(F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), place)).alias("block"), F.lit(1).alias("role"), "group", "label", "set")
 
-    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return batch.column("set").flatten().to_numpy().view(np.uint64), np.diff(batch.column("set").offsets.to_numpy().astype(np.int64))
-
     def hold(batch: pa.RecordBatch) -> dict:
-        return {"group": batch.column("group").to_numpy(), "label": batch.column("label").to_numpy(), "sets": Postings(*flat(batch))}
+        return {"group": batch.column("group").to_numpy(), "label": batch.column("label").to_numpy(), "sets": Postings(*_flat(batch.column("set")))}
 
     def meet(m: dict, batch: pa.RecordBatch) -> pa.RecordBatch | None:
         group, label = batch.column("group").to_numpy(), batch.column("label").to_numpy()
         names, at = np.unique(np.concatenate([m["label"], label]), return_inverse=True)
         held, own = at[: len(m["label"])], at[len(m["label"]) :]
         root, left, right = np.arange(len(names)), [], []
-        hashes, sizes = flat(batch)
+        hashes, sizes = _flat(batch.column("set"))
         for i, (end, size) in enumerate(zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)):
             alike = (m["sets"].similarity(hashes[end - size : end]) >= similarity) & (m["group"] == group[i])
             for r in np.setdiff1d(root[held[alike]], root[own[i]]).tolist():
@@ -467,19 +486,21 @@ def group_links(docs: DataFrame, labels: DataFrame, ends: DataFrame, id_col: str
     return B.compare(members.unionByName(asking), hold, meet, "la long, lb long").distinct()
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of all rows with an id: classes of documents about as similar.
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, key, component) of the distinct pairs of an id and a text (key: 128 bits of it): classes of similar texts.
 
     A wide fingerprint estimates the similarity to a few hundredths. Each of its TABLES blocks of 23
-    bits is an anchor space of the Golay code: a document goes to the anchors within covering radius
-    plus SLIP of the block, and documents of one anchor are compared over all compared bits. Near
-    copies agree up to SLIP bits in at least one block with a probability of about 0.87, 0.96 and
-    0.99 at similarities of 0.8, 0.85 and 0.9; many others meet as well. An anchor returns a spanning
-    forest of what may be similar, closest first, never its pairs. The links of the first EARLY tables
-    are held against the whole sets of shingles. Where such a link fails, others of its anchor that the
-    forest left out may be true: labels that failed links and those of the other tables join are
-    groups, within which all texts of different labels are held against each other. Equal wide fingerprints are one document to the search.
-    Documents without words are one class.
+    bits is an anchor space of the Golay code: a text goes to the anchors within covering radius
+    plus SLIP of the block, and texts of one anchor are compared over all compared bits. An anchor
+    returns a spanning forest of what may be similar, closest first, never its pairs. The links of
+    the first EARLY tables are held against the whole sets of shingles. Where such a link fails, others
+    of its anchor that the forest left out may be true: labels that failed links and those of the
+    other tables join are groups, within which all texts of different labels are held against each
+    other. Equal wide fingerprints are one text to the search.
+
+    Defined cases: rows with a null id are left out; null and empty texts and those without
+    words are one class; a text of fewer words than a shingle is one shingle; texts of any length are
+    read whole; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     work = Workspace(docs.sparkSession, "similar")
@@ -490,9 +511,18 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def wide(texts: pd.Series) -> pd.Series:
         return pd.Series([wide_fingerprint(t, words).view(np.int64) for t in texts], dtype=object)
 
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), wide(F.col(text_col)).alias("f"))
-    rows = work.save(rows.select("id", *[F.col("f")[w].alias(n) for w, n in enumerate(names)]), "fingerprints")
-    nodes = work.save(rows.groupBy(*names).agg(F.min("id").alias("node")), "distinct")
+    named = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    rows = named.select("id", "key", wide("text").alias("f"))
+    rows = work.save(rows.select("id", "key", *[F.col("f")[w].alias(n) for w, n in enumerate(names)]), "fingerprints")
+    # the number of a fingerprint is fixed once the table is written
+    nodes = work.save(rows.groupBy(*names).agg(F.min("key").alias("key")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(node, set) of the nodes named: the shingles of one text of each."""
+        own = nodes.select("node", F.col("key.x").alias("_x"), F.col("key.y").alias("_y")).join(wanted, "node", "left_semi")
+        texts = named.select(F.col("key.x").alias("x"), F.col("key.y").alias("y"), "text")
+        found = texts.join(own, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).dropDuplicates(["node"])
+        return work.save(found.select("node", _sets(F.col("text"), words).alias("set")), "texts")
 
     def spread(batches: Iterator[pa.RecordBatch], tables: range) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -549,20 +579,34 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = placed.repartition(parts, "anchor").sortWithinPartitions("anchor", "node").mapInArrow(compare, "a long, b long").distinct()
         met.append(work.save(found, "found"))
         if len(met) == 1:  # the links of the others are held against each other in their groups
-            labels = merged(between(work.save(similar_pairs(docs, met[0], id_col, text_col, words, similarity), "linked")))
-    ends = between(reduce(DataFrame.union, met))
-    labels = merged(work.save(group_links(docs, labels.select("node", "label"), ends, id_col, text_col, words, similarity, work), "linked"))
-    least = labels.groupBy("label").agg(F.min("node").alias("component_id"))
-    named = labels.join(least, "label").select(*[F.col(n).alias(f"_{n}") for n in names], "component_id")
+            ends = met[0].select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            labels = merged(between(work.save(similar_pairs(sets_of(ends), met[0], similarity), "linked")))
+    ends = work.save(between(reduce(DataFrame.union, met)), "between")
+    joined = ends.select(F.explode(F.array("la", "lb")).alias("label")).distinct()
+    asked = labels.select("node", "label").join(joined, "label", "left_semi")
+    labels = merged(work.save(group_links(sets_of(asked.select("node")), asked, ends, similarity, work), "linked"))
+    named = labels.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("label").alias("component"))
     same = reduce(and_, (F.col(n) == F.col(f"_{n}") for n in names))
-    return rows.join(named, same).select(F.col("id").alias(id_col), "component_id")
+    return rows.join(named, same).select("id", "key", "component").distinct()
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) of the distinct pairs of an id and a text; component_id is the smallest id of the class (see similar_rows)."""
+    rows = similar_rows(docs, id_col, text_col, words, similarity)
+    least = rows.groupBy(F.col("component").alias("_c")).agg(F.min("id").alias("component_id"))
+    return rows.join(least, F.col("component") == F.col("_c")).select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each class of similar documents: the one of the smallest id.
+    """``docs`` with one row of each class of similar texts: the one of the smallest id, then text key.
 
-    Rows without an id cannot be told apart and pass through.
+    Rows of one id with different texts are rows of their own; of rows that agree in id and text one
+    stays. Rows without an id pass through, and columns whatever their names. See similar_rows for
+    the other cases.
     """
-    kept = similar_classes(docs, id_col, text_col, words, similarity).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    one = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.filter(F.col(id_col).isNull()))
+    rows = similar_rows(docs, id_col, text_col, words, similarity)
+    first = rows.groupBy("component").agg(F.min(F.struct("id", "key")).alias("first"))
+    kept = first.select(F.col("first.id").alias("_k_id"), F.col("first.key.x").alias("_k_x"), F.col("first.key.y").alias("_k_y"))
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"))
+    own = whole.join(kept, (F.col("_id") == F.col("_k_id")) & (F.col("_key.x") == F.col("_k_x")) & (F.col("_key.y") == F.col("_k_y")), "left_semi")
+    return own.dropDuplicates(["_id", "_key"]).select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))
