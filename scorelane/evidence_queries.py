@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scorelane.functions import text as T
 from scorelane.operators import evidence as E
-from scorelane.operators import exact, metrics, records, scoring, stats
+from scorelane.operators import exact, generate, records, scoring, stats
 from scorelane.plans import derive
 from scorelane.queries import DELTAS, RANK, RECORDS, SPLITS, rounded, scored_sql, state, turned
 from scorelane.registry import query
@@ -271,3 +271,20 @@ def _(spark, sf):
     deltas = stats.numbered(both.select("task", "source_group_id", (F.col("a") - F.col("b")).alias("delta")), "task", "source_group_id")
     drawn = stats.hashed_bank(deltas.groupBy("task").agg(F.count("*").alias("n")), "task", 2000)
     return rounded(exact.macro_intervals(deltas, drawn, "task"), "mean", "low", "high")
+
+
+@query("r11_epoch_shuffle")
+def _(spark, sf):
+    rows = derive.records(spark, sf).select(F.col("doc_id").alias("place"), "record_id", F.array(*map(F.lit, derive.IDS)).alias("option_ids"), "answer_id")
+    return generate.epoch_examples(rows, 7, 2).withColumn("option_ids", F.array_join("option_ids", ","))
+
+
+@query("f21_names", "SELECT p_partkey, (['ka', 'lo', 'mi'])[(p_partkey // 27) % 3 + 1] || (['ka', 'lo', 'mi'])[(p_partkey // 9) % 3 + 1] || (['ka', 'lo', 'mi'])[(p_partkey // 3) % 3 + 1] || (['ka', 'lo', 'mi'])[p_partkey % 3 + 1] AS name FROM part")
+def _(spark, sf):
+    return derive.table(spark, sf, "part").select("p_partkey", generate.syllable_name(F.col("p_partkey"), ["ka", "lo", "mi"]).alias("name"))
+
+
+@query("t07_bank_digest")
+def _(spark, sf):
+    sizes = [(r["lang"], r["n"]) for r in derive.table(spark, sf, "documents").groupBy("lang").agg(F.countDistinct("source").alias("n")).orderBy("lang").collect()]
+    return spark.createDataFrame([(exact.bank_digest(exact.drawn_bank(20, sizes, 200)),)], "digest string")

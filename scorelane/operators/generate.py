@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import permutations, product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,17 +39,14 @@ def interleave(streams: list[DataFrame], order: list[str], cycles: list[bool], w
     doesn't cycle has rows. Adds update (steps go ``width`` to one) and slot.
     """
     numbered = [s.select("record_id", F.col("i").cast("long"), F.lit(k).alias("stream")) for k, s in enumerate(records.numbered(s, order, "i") for s in streams)]
-    sizes = [n.agg(F.count("*").alias("n")) for n in numbered]
-    most = None
-    for size, cycle in zip(sizes, cycles, strict=True):
-        if not cycle:
-            most = size if most is None else most.union(size)
-    steps = most.agg(F.max("n").alias("steps")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") - 1)).alias("step"))
-    out = None
-    for n, size, cycle in zip(numbered, sizes, cycles, strict=True):
-        at = steps.crossJoin(F.broadcast(size)).filter("n > 0").withColumn("i", F.col("step") % F.col("n") if cycle else F.col("step"))  # one row is broadcast
-        part = at.drop("n").join(n, "i").drop("i")
-        out = part if out is None else out.unionByName(part)
+    sizes = [n.count() for n in numbered]
+    steps = streams[0].sparkSession.range(max([n for n, cycle in zip(sizes, cycles, strict=True) if not cycle], default=0)).select(F.col("id").alias("step"))
+    parts = []
+    for own, size, cycle in zip(numbered, sizes, cycles, strict=True):
+        if size:
+            at = steps.withColumn("_i", F.col("step") % size if cycle else F.col("step"))
+            parts.append(own.join(at, F.col("i") == F.col("_i")).select("record_id", "step", "stream"))
+    out = reduce(DataFrame.unionByName, parts) if parts else steps.limit(0).select(F.lit(None).cast("string").alias("record_id"), "step", F.lit(0).alias("stream"))
     place = F.col("step") * len(streams) + F.col("stream")
     return out.withColumn("update", F.floor(place / width)).withColumn("slot", (place % width).cast("int"))
 
@@ -80,3 +78,35 @@ def truth_table_form(sizes: list[int], outcomes: dict[tuple[int, ...], str]) ->
             text = ",".join(map(str, turned)) + ":" + ".".join(cells)
             best = text if best is None or text < best else best
     return best or ""
+
+
+def epoch_examples(rows: DataFrame, seed: int, epoch: int) -> DataFrame:
+    """(place, record_id, option_ids, gold_index): records and then each one's options shuffled by one Mersenne Twister.
+
+    rows has place, record_id, option_ids and answer_id; the twister starts at seed + epoch and is
+    used up in order, so an epoch is one task: its ids must fit a worker, texts stay behind.
+    """
+    import random
+
+    import pandas as pd
+
+    def shuffle(part: pd.DataFrame) -> pd.DataFrame:
+        rng = random.Random(seed + epoch)
+        order = list(part.sort_values("place").itertuples(index=False))
+        rng.shuffle(order)
+        out = []
+        for r in order:
+            ids = list(r.option_ids)
+            rng.shuffle(ids)
+            out.append((len(out), r.record_id, ids, ids.index(r.answer_id)))
+        return pd.DataFrame(out, columns=["place", "record_id", "option_ids", "gold_index"])
+
+    own = rows.select("place", "record_id", "option_ids", "answer_id", F.lit(epoch).alias("epoch"))
+    return own.groupBy("epoch").applyInPandas(shuffle, "place long, record_id string, option_ids array<string>, gold_index int")
+
+
+def syllable_name(number: Column, syllables: list[str], places: int = 4) -> Column:
+    """A number as ``places`` syllables, the last one changing fastest; numbers past the last name start again."""
+    n, table = len(syllables), F.array(*map(F.lit, syllables))
+    digit = lambda k: F.element_at(table, (F.floor(number / n**k) % n + 1).cast("int"))
+    return F.concat(*[digit(k) for k in reversed(range(places))])

@@ -1,7 +1,8 @@
 """Metrics of judged rows, per group of columns ``by`` (none: over all rows).
 
 Every metric is one aggregation, or two where classes, bins or confidences come first; sums are
-combined before the shuffle, so a group that holds most rows costs one row a task.
+combined before the shuffle, so a group that holds most rows costs one row a task. Running sums
+are taken in ranges, never over all confidences in one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelane.functions.text import confidence_bin, wilson
+from scorelane.operators import records
+from scorelane.operators.workspace import Workspace
 
 
 def basic(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -55,10 +58,11 @@ def risk_curve(rows: DataFrame, by: list[str], digits: int | None = None) -> Dat
     """
     conf = F.col("confidence") if digits is None else F.round("confidence", digits)
     steps = rows.groupBy(*by, conf.alias("confidence")).agg(F.count("*").alias("k"), F.sum(1 - F.col("correct")).alias("wrong"))
-    run = Window.partitionBy(*by).orderBy(F.desc("confidence")).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("k").over(Window.partitionBy(*by))
-    seen = F.sum("k").over(run)
-    return steps.select(*by, "confidence", (seen / total).alias("coverage"), (F.sum("wrong").over(run) / seen).alias("risk"), (F.col("k") / total).alias("step"))
+    steps = records.running(steps, by, [F.col("confidence").desc()], {"seen": F.col("k"), "lost": F.col("wrong")})
+    total = steps.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.max("seen").alias("total"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by)) if by else F.lit(True)  # one row without groups
+    at = steps.join(total, same)
+    return at.select(*by, "confidence", (F.col("seen") / F.col("total")).alias("coverage"), (F.col("lost") / F.col("seen")).alias("risk"), (F.col("k") / F.col("total")).alias("step"))
 
 
 def aurc(rows: DataFrame, by: list[str], digits: int | None = None) -> DataFrame:
@@ -67,7 +71,8 @@ def aurc(rows: DataFrame, by: list[str], digits: int | None = None) -> DataFrame
 
 
 def report(rows: DataFrame, by: list[str], digits: int | None = None) -> DataFrame:
-    """All of the above, a row a group."""
+    """All of the above, a row a group. The rows are written first, so they are scored once."""
+    rows = Workspace(rows.sparkSession, "report").save(rows.select(*by, "correct", "gold_log_prob", "brier", "abstained", "confidence", "answer_id", "top_option_id"), "judged")
     parts = [basic(rows, by), macro_f1(rows, by), ece(rows, by), aurc(rows, by, digits)]
     if not by:
         return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each

@@ -147,6 +147,24 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return inside.join(starts, F.col("_range") == F.col("_at")).withColumn(name, F.col("_start") + F.col("_place") - 1).drop("_range", "_at", "_start", "_place")
 
 
+def running(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with running sums within each group, in order, the row itself included; no group is gathered.
+
+    Rows are dealt out by ranges of (by, order), summed apart, and the sums of a group's ranges before
+    are added; only one row a range and group meets in a window. The ranges are written, so a
+    repeated task sees the same.
+    """
+    placed = rows.withColumns({f"_v_{n}": c for n, c in sums.items()}).repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_range", F.spark_partition_id())
+    placed = Workspace(rows.sparkSession, "running").save(placed, "ranges")
+    per = placed.groupBy(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_range").alias("_at")).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums])
+    before = Window.partitionBy(*[f"_b_{c}" for c in by]).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({f"_s_{n}": F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)) for n in sums})
+    inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by), F.col("_range") == F.col("_at"))
+    at = placed.withColumns({n: F.sum(f"_v_{n}").over(inside) for n in sums}).join(per, same)
+    return at.withColumns({n: F.col(n) + F.col(f"_s_{n}") for n in sums}).select(*rows.columns, *sums)
+
+
 def balanced(rows: DataFrame, group: str, label: str, labels: list[str], group_rank: Column, order: list[Column]) -> DataFrame:
     """Groups that hold every label, dealt to the labels in turn by rank; of each, the first row of its label."""
     full = rows.filter(F.col(label).isin(labels)).groupBy(group).agg(F.countDistinct(label).alias("k")).filter(F.col("k") == len(labels))

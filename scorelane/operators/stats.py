@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scorelane.operators import records
+
 
 def bank(spark: SparkSession, seed: int, sizes: list[tuple[str, int]], draws: int) -> DataFrame:
     """(task, draw, pos, idx) of resampled group numbers from one Mersenne Twister in task order.
@@ -22,7 +24,10 @@ def bank(spark: SparkSession, seed: int, sizes: list[tuple[str, int]], draws: in
 
 def hashed_bank(groups: DataFrame, by: str, draws: int) -> DataFrame:
     """(by, draw, idx): as many hash-drawn group numbers a draw as the task has groups; groups has (by, n)."""
-    drawn = groups.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select(by, "n", "draw", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("pos"))
+    size = 1 << 16  # positions that one array holds at most
+    drawn = groups.select(by, "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    drawn = drawn.select(by, "n", "draw", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size))).alias("part"))
+    drawn = drawn.select(by, "n", "draw", F.explode(F.sequence(F.col("part") * size, F.least(F.col("n") - 1, F.col("part") * size + (size - 1)))).alias("pos"))
     head = F.substring(F.sha2(F.concat_ws(":", F.col(by), "draw", "pos"), 256), 1, 15)
     return drawn.select(by, "draw", (F.conv(head, 16, 10).cast("long") % F.col("n")).alias("idx"))
 
@@ -44,7 +49,8 @@ def ratio_intervals(groups: DataFrame, drawn: DataFrame, by: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, by: str, order: str) -> DataFrame:
-    return rows.withColumn("idx", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("long"))
+    """``rows`` with idx, their place from 0 within ``by``, in ranges (see records.running)."""
+    return records.running(rows, [by], [F.col(order)], {"idx": F.lit(1).cast("long")}).withColumn("idx", F.col("idx") - 1)
 
 
 def gate(num: Column, den: Column, limit_num: int, limit_den: int) -> Column:
@@ -68,9 +74,8 @@ def sequence_faults(events: DataFrame, by: str, order: str, time: str, kind: str
 
 
 def within_caps(steps: DataFrame, by: str, order: str, amount: str, cap: int) -> DataFrame:
-    """Steps whose running total passes the cap."""
-    run = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("total", F.sum(amount).over(run)).filter(F.col("total") > cap)
+    """Steps whose running total passes the cap; totals run in ranges, whatever one group holds."""
+    return records.running(steps, [by], [F.col(order)], {"total": F.col(amount).cast("long")}).filter(F.col("total") > cap)
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

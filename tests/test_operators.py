@@ -176,3 +176,70 @@ def test_both_directions_of_two_and_three(spark):
     got = spark.range(1).select(*[scoring.both_directions(F.array(*map(F.lit, ids))).alias(ids) for ids in ("ab", "abc")]).first()
     assert ["".join(o) for o in got["ab"]] == ["ab", "ba"]
     assert ["".join(o) for o in got["abc"]] == ["abc", "bca", "cab", "cba", "bac", "acb"]
+
+
+def test_stream_goes_on_where_it_ended(spark, tmp_path):
+    from scorelane.streaming import events
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("ts")
+    half = rows.count() // 2
+    (tmp_path / "in").mkdir()
+    place = lambda name, part: part.coalesce(1).write.parquet(str(tmp_path / name))
+    place("a", rows.limit(half))
+    place("b", rows.offset(half))
+    once = lambda n, name: next((tmp_path / n).glob("*.parquet")).rename(tmp_path / "in" / name)
+    once("a", "events-1.parquet")
+    read = lambda: {(r["hour"], r["event_type"]): r["n"] for r in events.hourly(spark, str(tmp_path / "in"), f"file://{tmp_path}/state").collect()}
+    plain = lambda part: {(r["h"], r["event_type"]): r["count"] for r in part.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h"), "event_type").count().collect()}
+    assert read() == plain(rows.limit(half))
+    before = len(list((tmp_path / "state" / "offsets" / "offsets").iterdir()))
+    once("b", "events-2.parquet")
+    assert read() == plain(rows)
+    assert len(list((tmp_path / "state" / "offsets" / "offsets").iterdir())) > before
+
+
+def test_running_sums_of_a_hot_group(spark):
+    rows = spark.createDataFrame([("hot", i, i % 7) for i in range(2000)] + [("b", 1, 5), (None, 2, 3), (None, 1, 1)], "g string, o int, x int").repartition(6)
+    got = {(r["g"], r["o"]): r["t"] for r in records.running(rows, ["g"], [F.col("o")], {"t": F.col("x")}).collect()}
+    total, want = 0, {("b", 1): 5, (None, 1): 1, (None, 2): 4}
+    for i in range(2000):
+        total += i % 7
+        want["hot", i] = total
+    assert got == want and records.running(rows.limit(0), [], [F.col("o")], {"t": F.col("x")}).count() == 0
+
+
+def test_confusion_has_rows_of_zeros(spark):
+    rows = spark.createDataFrame([("d", "a", "b"), ("d", "z", "a")], "d string, answer_id string, top_option_id string")
+    got = {tuple(r) for r in metrics.confusion(rows, ["d"], ["a", "b", "c"]).collect()}
+    assert got == {("d", "a", 0, 1, 0), ("d", "b", 0, 0, 0), ("d", "c", 0, 0, 0), ("d", "z", 1, 0, 0)}
+
+
+def test_epoch_shuffle_equals_one_generator(spark):
+    import random
+
+    rows = spark.createDataFrame([(i, f"r{i}", ["a", "b", "c"], "b") for i in range(30)], "place long, record_id string, option_ids array<string>, answer_id string")
+    rng, want = random.Random(5 + 3), []
+    order = [f"r{i}" for i in range(30)]
+    rng.shuffle(order)
+    for name in order:
+        ids = ["a", "b", "c"]
+        rng.shuffle(ids)
+        want.append((name, ids, ids.index("b")))
+    assert [tuple(r)[1:] for r in generate.epoch_examples(rows.repartition(4), 5, 3).orderBy("place").collect()] == want
+    assert generate.epoch_examples(rows.limit(0), 5, 3).count() == 0
+
+
+def test_hot_joins_of_components_are_split(spark, tmp_path):
+    """With low thresholds Spark splits the partition of a hub in both star joins."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    spark.range(1, 20000).selectExpr("id + 30000 AS a", "id % 3 AS b", "30001 - id % 2 AS hub").repartition(12).write.parquet(str(tmp_path / "e"))
+    e = spark.read.parquet(str(tmp_path / "e"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for stars in (components._large_star(e.select("a", "b")), components._small_star(e.select(F.col("hub").alias("a"), (F.col("a") - 30000).alias("b")).filter("a > b"))):
+            stars.collect()
+            assert "skew=true" in stars._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
