@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scorelane.functions import text as T
 from scorelane.operators import evidence as E
-from scorelane.operators import exact, generate, records, scoring, stats
+from scorelane.operators import exact, generate, metrics, records, scoring, stats
 from scorelane.plans import derive
 from scorelane.queries import DELTAS, RANK, RECORDS, SPLITS, rounded, scored_sql, state, turned
 from scorelane.registry import query
@@ -288,3 +288,55 @@ def _(spark, sf):
 def _(spark, sf):
     sizes = [(r["lang"], r["n"]) for r in derive.table(spark, sf, "documents").groupBy("lang").agg(F.countDistinct("source").alias("n")).orderBy("lang").collect()]
     return spark.createDataFrame([(exact.bank_digest(exact.drawn_bank(20, sizes, 200)),)], "digest string")
+
+
+@query("a17_by_order", f"WITH {RECORDS}, {scored_sql(orders=True)} SELECT dataset_id, order_index::INT AS order_index, count(*) AS n, round(avg(correct), 9) AS accuracy, count(*) FILTER (tied) AS ties FROM s GROUP BY ALL")
+def _(spark, sf):
+    return rounded(metrics.by_order(turned(spark, sf), ["dataset_id"]), "accuracy")
+
+
+@query("a16_repeats", f"WITH {RECORDS}, k AS (SELECT dataset_id, source_group_id, count(*) AS k FROM records GROUP BY ALL) SELECT dataset_id, count(*) AS records, sum(k)::BIGINT AS rows, max(k) AS most, count(*) FILTER (k > 1) AS repeated FROM k GROUP BY 1")
+def _(spark, sf):
+    return metrics.repeats(derive.records(spark, sf), ["dataset_id"], "source_group_id")
+
+
+@query("a16_positions", f"WITH {PANEL} SELECT dataset_id, 3 AS options, (list_position(string_split(o, ','), answer_id) - 1)::INT AS position, count(*) AS n FROM panel GROUP BY ALL")
+def _(spark, sf):
+    return metrics.shown_at(derive.panel(spark, sf), ["dataset_id"], "order_ids", "answer_id")
+
+
+@query("o09_id_forms", f"WITH {PANEL} SELECT presentation_id, sha256('{{\"namespace\":\"panel\",\"order_ids\":[\"' || replace(o, ',', '\",\"') || '\"],\"record_id\":\"' || record_id || '\"}}') AS digest, sha256('panel' || chr(0) || record_id || chr(0) || replace(o, ',', chr(0))) AS joined FROM panel")
+def _(spark, sf):
+    rows = derive.panel(spark, sf)
+    return rows.select("presentation_id", scoring.presentation_digest(namespace=F.lit("panel"), record_id=F.col("record_id"), order_ids=F.col("order_ids")).alias("digest"), scoring.joined_digest(F.lit("panel"), F.col("record_id"), F.col("order_ids")).alias("joined"))
+
+
+@query("f07_opaque_ids", "SELECT doc_id, 'doc-' || sha256('[\"doc\",\"' || doc_id || '\",\"' || source || '\"]') AS opaque_id FROM documents")
+def _(spark, sf):
+    return derive.table(spark, sf, "documents").select("doc_id", T.opaque_id("doc", F.col("doc_id"), F.col("source")).alias("opaque_id"))
+
+
+@query("d04_conflicts", "SELECT sha256(text) AS key, count(DISTINCT source) AS labels FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT source) > 1")
+def _(spark, sf):
+    return records.conflicting(derive.table(spark, sf, "documents").select(F.sha2("text", 256).alias("key"), "source").filter("key IS NOT NULL"), ["key"], "source")
+
+
+@query("l08_quota", f"WITH {RECORDS}, g AS (SELECT source_group_id, row_number() OVER (ORDER BY sha256('deal:5:' || source_group_id), source_group_id) - 1 AS i FROM records GROUP BY 1 HAVING count(DISTINCT answer_id) = 2), d AS (SELECT source_group_id, CASE i % 2 WHEN 0 THEN 'high' ELSE 'low' END AS answer_id FROM g WHERE i < 6) SELECT source_group_id, answer_id, min_by(record_id, ({RANK}, record_id)) AS record_id FROM records JOIN d USING (source_group_id, answer_id) GROUP BY ALL")
+def _(spark, sf):
+    rows = derive.records(spark, sf).withColumn("rank", T.rank("select", 7, F.col("doc_id")))
+    got = records.balanced(rows, "source_group_id", "answer_id", ["high", "low"], T.rank("deal", 5, F.col("source_group_id")), [F.col("rank"), F.col("record_id")], 3)
+    return got.select("source_group_id", "answer_id", "record_id")
+
+
+@query("t12_ledger", "WITH d AS (SELECT o_orderkey AS step, o_orderstatus AS category, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS k, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) SELECT step, 'not the planned spec' AS fault FROM d WHERE step % 11 = 0 AND step % 13 > 0 UNION ALL SELECT step, 'not planned' FROM d WHERE step % 13 = 0 UNION ALL SELECT step, 'category cap' FROM d WHERE k > CASE category WHEN 'O' THEN 100 WHEN 'F' THEN 5000 ELSE 0 END UNION ALL SELECT step, 'total cap' FROM d WHERE n > 14000")
+def _(spark, sf):
+    orders = derive.table(spark, sf, "orders").select(F.col("o_orderkey").alias("step"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("spec"), F.col("o_orderstatus").alias("category"))
+    plan = orders.filter("step % 13 > 0").withColumn("spec", F.when(F.col("step") % 11 == 0, "other").otherwise(F.col("spec")))
+    return stats.ledger_faults(orders, plan, "step", "spec", "category", {"O": 100, "F": 5000}, 14000)
+
+
+@query("t13_event_faults", "WITH e AS (SELECT conv_id, turn, role, row_number() OVER w AS p, lag(turn) OVER w AS t FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, 'kind' AS fault FROM e WHERE coalesce((['system', 'user', 'assistant', 'user'])[p], '') <> role UNION ALL SELECT conv_id, turn, 'time' FROM e WHERE turn // 2 <= t // 2 UNION ALL SELECT conv_id, turn, 'calls lost' FROM e WHERE turn % 3 = 0 AND t IS NOT NULL")
+def _(spark, sf):
+    rows = derive.table(spark, sf, "conversations").select("conv_id", "turn", "role", F.floor(F.col("turn") / 2).alias("ts"))
+    calls = F.when(F.col("turn") % 3 == 0, F.array(F.lit("b"))).when(F.col("turn") % 3 == 1, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    return stats.event_faults(rows.withColumn("calls", calls), "conv_id", "turn", "ts", "role", ["system", "user", "assistant", "user"], "calls")

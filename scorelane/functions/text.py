@@ -84,6 +84,11 @@ def rank(namespace: str, seed: int, *parts: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(namespace), F.lit(str(seed)), *[p.cast("string") for p in parts]), 256)
 
 
+def opaque_id(prefix: str, *parts: Column) -> Column:
+    """A name that shows nothing of its parts: a prefix and the digest of the prefix and the parts as a JSON list."""
+    return F.concat(F.lit(f"{prefix}-"), F.sha2(F.to_json(F.array(F.lit(prefix), *[p.cast("string") for p in parts])), 256))
+
+
 def split_slot(digest: Column) -> Column:
     """Split of a hex digest by its value modulo 8: four of train, one of development and of calibration, two of test."""
     names = F.array(*map(F.lit, ["train"] * 4 + ["development", "calibration"] + ["test"] * 2))

@@ -175,3 +175,19 @@ def winner_table(orders: DataFrame, n: int) -> DataFrame:
     """One row a record that has all n orders: the winner under each."""
     got = orders.groupBy("record_id").agg(F.countDistinct("order_index").alias("_n"), *[F.max(F.when(F.col("order_index") == k, F.col("top_option_id"))).alias(f"order_{k}") for k in range(n)])
     return got.filter(F.col("_n") == n).drop("_n")
+
+
+def by_order(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., order_index, n, accuracy, ties) of each order in which options were shown."""
+    return rows.groupBy(*by, "order_index").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy"), F.count_if("tied").alias("ties"))
+
+
+def repeats(rows: DataFrame, by: list[str], record: str) -> DataFrame:
+    """(by..., records, rows, most, repeated): how often records are shown: in all, at most, and how many more than once."""
+    per = rows.groupBy(*by, record).agg(F.count("*").alias("k"))
+    return per.groupBy(*by).agg(F.count("*").alias("records"), F.sum("k").alias("rows"), F.max("k").alias("most"), F.count_if(F.col("k") > 1).alias("repeated"))
+
+
+def shown_at(rows: DataFrame, by: list[str], ids: str, answer: str) -> DataFrame:
+    """(by..., options, position, n): rows by their number of options and the place of the answer, from 0."""
+    return rows.groupBy(*by, F.size(ids).alias("options"), (F.array_position(ids, F.col(answer)) - 1).cast("int").alias("position")).agg(F.count("*").alias("n"))

@@ -109,8 +109,15 @@ def greedy(rows: DataFrame, strata: str, block: str, order: list[str], quota: in
     return out
 
 
-def lowest_rank(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
-    """One row a key, the first by ``order``."""
+def conflicting(rows: DataFrame, key: list[str], label: str) -> DataFrame:
+    """(key..., labels): keys whose rows bear several labels."""
+    return rows.groupBy(*key).agg(F.countDistinct(label).alias("labels")).filter("labels > 1")
+
+
+def lowest_rank(rows: DataFrame, key: list[str], order: list[Column], label: str | None = None) -> DataFrame:
+    """One row a key, the first by ``order``; with ``label``, a key of several labels raises ValueError."""
+    if label is not None and not conflicting(rows, key, label).isEmpty():
+        raise ValueError("repeated rows have conflicting answers")
     return first_per(rows, key, order).drop("place")
 
 
@@ -165,10 +172,14 @@ def running(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str,
     return at.withColumns({n: F.col(n) + F.col(f"_s_{n}") for n in sums}).select(*rows.columns, *sums)
 
 
-def balanced(rows: DataFrame, group: str, label: str, labels: list[str], group_rank: Column, order: list[Column]) -> DataFrame:
-    """Groups that hold every label, dealt to the labels in turn by rank; of each, the first row of its label."""
+def balanced(rows: DataFrame, group: str, label: str, labels: list[str], group_rank: Column, order: list[Column], quota: int | None = None) -> DataFrame:
+    """Groups that hold every label, dealt to the labels in turn by rank; of each, the first row of its label.
+
+    With ``quota``, only so many groups a label are taken, those of the smallest ranks.
+    """
     full = rows.filter(F.col(label).isin(labels)).groupBy(group).agg(F.countDistinct(label).alias("k")).filter(F.col("k") == len(labels))
     dealt = numbered(full.select(F.col(group).alias("_g"), group_rank.alias("_rank")), ["_rank", "_g"], "_i")
+    dealt = dealt if quota is None else dealt.filter(F.col("_i") < quota * len(labels))
     dealt = dealt.select("_g", F.element_at(F.array(*map(F.lit, labels)), (F.col("_i") % len(labels) + 1).cast("int")).alias("_label"))
     return first_per(rows.join(dealt, (F.col(group) == F.col("_g")) & (F.col(label) == F.col("_label"))), [group], order).drop("place", "_g", "_label")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,9 +14,13 @@ def solve_routing(queries: DataFrame, domains: DataFrame, rules: DataFrame, feat
     """(scenario_id, outcome): the destination all completions of the missing features agree on.
 
     queries has scenario_id and a column a feature (null: missing); domains has (feature, value);
-    rules has a column a feature and destination. Unlisted completions go to no_route. A scenario
-    has at most 256 completions.
+    rules has a column a feature and destination. Unlisted completions go to no_route. Domains whose
+    product passes 256 completions raise ValueError; so rules, one a completion at most, stay small
+    enough to broadcast.
     """
+    sizes = {r["feature"]: r["n"] for r in domains.groupBy("feature").agg(F.countDistinct("value").alias("n")).collect()}  # one row a feature
+    if prod(sizes.get(f, 0) for f in features) > 256:
+        raise ValueError("more than 256 completions")
     out = queries
     for f in features:
         values = domains.filter(F.col("feature") == f).agg(F.array_sort(F.collect_set("value")).alias(f"d_{f}"))
@@ -24,12 +30,13 @@ def solve_routing(queries: DataFrame, domains: DataFrame, rules: DataFrame, feat
     return got.select("scenario_id", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(INSUFFICIENT).alias("outcome"))
 
 
-def solve_tools(scenarios: DataFrame) -> DataFrame:
+def solve_tools(scenarios: DataFrame, ties: str = "raise") -> DataFrame:
     """(scenario_id, outcome): the cheapest tool that fits, if all completions of unknown permissions agree.
 
     scenarios has required array<string>, input string, permissions array<string>, granted
     array<boolean> (null: unknown) and tools array<struct<id, capabilities, inputs, needs, cost>>.
-    A tie of the cheapest gives the outcome "tie"; no tool that fits gives no_eligible_tool.
+    A tie of the cheapest raises, or gives the outcome "tie" if ``ties`` is "mark"; no tool that fits
+    gives no_eligible_tool.
     """
     unknown = F.transform(F.filter(F.arrays_zip(F.col("permissions").alias("p"), F.col("granted").alias("g")), lambda z: z["g"].isNull()), lambda z: z["p"])
     known = F.transform(F.filter(F.arrays_zip(F.col("permissions").alias("p"), F.col("granted").alias("g")), lambda z: z["g"]), lambda z: z["p"])
@@ -42,4 +49,5 @@ def solve_tools(scenarios: DataFrame) -> DataFrame:
     best = F.filter("fits", lambda t: t["cost"] == F.col("least"))
     outcome = F.when(F.size("fits") == 0, NO_TOOL).when(F.size(best) > 1, "tie").otherwise(F.get(best, F.lit(0))["id"])
     got = cases.select("scenario_id", outcome.alias("o")).groupBy("scenario_id").agg(F.min("o").alias("a"), F.max("o").alias("b"), F.max(F.col("o") == "tie").alias("t"))
-    return got.select("scenario_id", F.when(F.col("t"), "tie").when(F.col("a") == F.col("b"), F.col("a")).otherwise(INSUFFICIENT).alias("outcome"))
+    tie = F.lit("tie") if ties == "mark" else F.raise_error(F.concat(F.lit("the cheapest tools tie in scenario "), F.col("scenario_id").cast("string"))).cast("string")
+    return got.select("scenario_id", F.when(F.col("t"), tie).when(F.col("a") == F.col("b"), F.col("a")).otherwise(INSUFFICIENT).alias("outcome"))

@@ -119,3 +119,13 @@ def orders(options: Column, only_given: Column | None = None) -> Column:
     wrong = F.raise_error(F.concat(F.lit("no orders for "), n.cast("string"), F.lit(" options"))).cast("array<array<string>>")
     out = F.when(n == 2, permutations(options, 2)).when(n == 3, permutations(options, 3)).when(n.isin(4, 8, 16), rotations(options)).otherwise(wrong)
     return out if only_given is None else F.when(only_given, F.array(options)).otherwise(out)
+
+
+def presentation_digest(**fields: Column) -> Column:
+    """Digest of the named fields of a presentation as canonical JSON, their names in order."""
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"}), 256)
+
+
+def joined_digest(*parts: Column) -> Column:
+    """Digest of parts joined by a zero character; arrays give their items as parts."""
+    return F.sha2(F.concat_ws("\0", *parts), 256)

@@ -80,3 +80,29 @@ def within_caps(steps: DataFrame, by: str, order: str, amount: str, cap: int) ->
 
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
+
+
+def ledger_faults(done: DataFrame, plan: DataFrame, order: str, spec: str, category: str, caps: dict[str, int], total: int) -> DataFrame:
+    """(order, fault) of a ledger of steps: what isn't the plan's step of its place, and what passes a cap.
+
+    Steps are joined with the plan by place; counts a category and over all run in ranges, so the
+    ledger may be of any length. Places the ledger hasn't reached are no fault.
+    """
+    at = done.select(order, spec, category).join(plan.select(F.col(order).alias("_o"), F.col(spec).alias("_spec")), F.col(order) == F.col("_o"), "left")
+    wrong = at.select(order, F.when(F.col("_o").isNull(), "not planned").when(~F.col(spec).eqNullSafe(F.col("_spec")), "not the planned spec").alias("fault"))
+    limits = F.create_map(*[x for c, n in caps.items() for x in (F.lit(c), F.lit(n))])
+    own = records.running(done.select(order, category), [category], [F.col(order)], {"n": F.lit(1).cast("long")}).select(order, F.when(F.col("n") > F.coalesce(F.element_at(limits, F.col(category)), F.lit(0)), "category cap").alias("fault"))
+    every = records.running(done.select(order), [], [F.col(order)], {"n": F.lit(1).cast("long")}).select(order, F.when(F.col("n") > total, "total cap").alias("fault"))
+    return wrong.unionByName(own).unionByName(every).filter("fault IS NOT NULL")
+
+
+def event_faults(events: DataFrame, by: str, order: str, time: str, kind: str, expected: list[str], calls: str) -> DataFrame:
+    """(by, order, fault) of runs: kinds that aren't the expected one of their place, times that don't grow, and call lists that lose or repeat a call."""
+    run = Window.partitionBy(by).orderBy(order)
+    kinds, place = F.array(*map(F.lit, expected)), F.row_number().over(run)
+    marked = events.withColumns({"_p": place, "_t": F.lag(time).over(run), "_c": F.lag(calls).over(run)})
+    checks = [
+        (~F.coalesce(F.get(kinds, F.col("_p") - 1), F.lit("")).eqNullSafe(F.col(kind)), "kind"), (F.col(time) <= F.col("_t"), "time"),
+        (F.size(F.array_except(F.coalesce("_c", F.array().cast("array<string>")), calls)) > 0, "calls lost"), (F.size(F.array_distinct(calls)) < F.size(calls), "repeated call"),
+    ]
+    return marked.select(by, order, F.explode(F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in checks]))).alias("fault"))

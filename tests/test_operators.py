@@ -121,7 +121,23 @@ def test_greedy_skips_used_blocks(spark):
 def test_tool_tie(spark):
     schema = "scenario_id int, required array<string>, input string, permissions array<string>, granted array<boolean>, tools array<struct<id string, capabilities array<string>, inputs array<string>, needs array<string>, cost int>>"
     rows = spark.createDataFrame([(1, ["a"], "t", [], [], [("x", ["a"], ["t"], [], 1), ("y", ["a"], ["t"], [], 1)]), (2, ["a"], "t", ["n"], [None], [("x", ["a"], ["t"], ["n"], 1), ("y", ["a"], ["t"], [], 2)])], schema)
-    assert {r["scenario_id"]: r["outcome"] for r in rules.solve_tools(rows).collect()} == {1: "tie", 2: "insufficient_information"}
+    assert {r["scenario_id"]: r["outcome"] for r in rules.solve_tools(rows, ties="mark").collect()} == {1: "tie", 2: "insufficient_information"}
+    with pytest.raises(Exception, match="tie in scenario 1"):
+        rules.solve_tools(rows).collect()
+
+
+def test_ledger_names_each_step_that_breaks_it(spark):
+    plan = spark.createDataFrame([(i, f"s{i}", "ab"[i % 2]) for i in range(6)], "step int, spec string, category string")
+    done = spark.createDataFrame([(0, "s0", "a"), (1, "s1", "b"), (2, "x", "a"), (3, "s3", "b"), (4, "s4", "a"), (9, "more", "b")], "step int, spec string, category string")
+    got = {tuple(r) for r in stats.ledger_faults(done, plan, "step", "spec", "category", {"a": 2, "b": 9}, 5).collect()}
+    assert got == {(2, "not the planned spec"), (4, "category cap"), (9, "not planned"), (9, "total cap")}
+
+
+def test_sequences_of_calls(spark):
+    rows = [("c", 0, 1, "start", []), ("c", 1, 2, "call", ["x"]), ("c", 2, 2, "call", ["x", "y"]), ("c", 3, 4, "end", ["y"]), ("c", 4, 5, "more", ["x", "y"])]
+    frame = spark.createDataFrame(rows, "run string, seq int, ts int, kind string, calls array<string>")
+    got = {tuple(r) for r in stats.event_faults(frame, "run", "seq", "ts", "kind", ["start", "call", "call", "end"], "calls").collect()}
+    assert got == {("c", 2, "time"), ("c", 3, "calls lost"), ("c", 4, "kind")}
 
 
 def test_truth_table_form_ignores_names():
