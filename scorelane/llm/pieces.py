@@ -22,33 +22,51 @@ import regex
 RUN = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]{2}| \z|\x{00}"
 #: A Latin letter before a mark that isn't a letter, a number or white space in any pattern.
 MARK = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([.,;:!?])"
-#: Encoded parts that a worker remembers; a full memory is emptied.
-REMEMBERED = 500_000
+#: Bytes of encoded parts that a worker remembers in each of two memories, and what an entry takes besides its letters and ids.
+REMEMBERED, ENTRY = 40 << 20, 220
 
 
 class Pieces:
-    """encode(matches) gives an encoding each; join puts encodings of neighbours together."""
+    """encode(matches) gives an encoding each (bytes); join puts encodings of neighbours together.
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list], join: Callable[[list], object]):
+    Parts are remembered in two memories: a full one becomes the older one, and parts found there
+    move to the new one, so that frequent parts stay and rare ones go.
+    """
+
+    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], join: Callable[[list[bytes]], bytes]):
         self.findall, self.encode, self.join = regex.compile(pattern).findall, encode, join
-        self.parts: dict[str, object] = {}
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def _keep(self, found: dict[str, bytes]) -> None:
+        more = sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
+        if self.held + more > REMEMBERED:
+            self.older, self.parts, self.held = self.parts, {}, 0
+        if more <= REMEMBERED:
+            self.parts.update(found)
+            self.held += more
 
-    def _parts(self, parts: list[str]) -> list:
+    def _parts(self, parts: list[str]) -> list[bytes]:
         """Encodings of distinct parts, remembered ones looked up; a match is a part of its own."""
-        known = self.parts
-        new = [p for p in parts if p not in known]
-        if len(known) + 2 * len(new) > REMEMBERED:
-            known.clear()
-            new = parts
+        known, older = self.parts, self.older
+        found = [known.get(p) for p in parts]
+        missing = [p for p, e in zip(parts, found, strict=True) if e is None]
+        got = {p: older[p] for p in missing if p in older} if older else {}
+        new = [p for p in missing if p not in got] if got else missing
         cut = list(map(self.findall, new))
         single = [p for p, c in zip(new, cut, strict=True) if len(c) == 1]
         longer = [(p, c) for p, c in zip(new, cut, strict=True) if len(c) != 1]
-        known.update(zip(single, self.encode(single), strict=True))
-        unknown = [m for m in {m for _, c in longer for m in c} if m not in known]
-        known.update(zip(unknown, self.encode(unknown), strict=True))
+        got.update(zip(single, self.encode(single), strict=True))
+        matches = {m for _, c in longer for m in c if m not in got}
+        old = {m: known.get(m, older.get(m)) for m in matches if m in known or m in older}
+        unknown = [m for m in matches if m not in old]
+        fresh = dict(zip(unknown, self.encode(unknown), strict=True))
+        every = got | old | fresh
         for p, c in longer:
-            known[p] = self.join([known[m] for m in c])
-        return [known[p] for p in parts]
+            got[p] = self.join([every[m] for m in c])
+        self._keep(got | fresh)
+        return [got[p] if e is None else e for p, e in zip(parts, found, strict=True)]
 
     def encoded(self, texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray]:
         """Encodings of the distinct parts, the number of each part, and where the texts end in these.
