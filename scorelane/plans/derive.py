@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelane.operators import generate
+
 IDS = ("high", "low", "mid")
 QUESTION = "What is the quality of the text?"
 
@@ -56,50 +58,17 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", "lang", F.sha2("text", 256).alias("request_hash"), split_slot(F.sha2("source", 256)).alias("split"))
 
 
-def _byte(*parts: Column | str) -> Column:
-    """A number from 0 to 255 that a digest of the parts gives."""
-    return F.conv(F.substring(F.sha2(F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), 256), 1, 2), 16, 10).cast("int")
-
-
-def _upto(n: Column | int) -> Column:
-    """0 to n - 1, empty for none."""
-    return F.filter(F.sequence(F.lit(0), F.lit(n) if isinstance(n, int) else n), lambda i: i < n)
-
-
-def _named(mark: str, i: Column) -> Column:
-    return F.concat(F.lit(mark), i.cast("string"))
-
-
 def routing_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scenario_id, scenario): one to three binary features, up to six destinations and a drawn table a part."""
     key = F.col("p_partkey")
-    k, n = 1 + key % 3, 2 * (1 + F.floor(key / 3) % 3)
-    value = lambda i, bit: F.concat(F.when(bit == 0, "a").otherwise("b"), i.cast("string"))
-    features = F.transform(_upto(k), lambda i: F.struct(_named("f", i).alias("name"), F.array(_named("a", i), _named("b", i)).alias("values")))
-    cells = F.transform(_upto(F.pow(F.lit(2), k).cast("int")), lambda c: F.struct(c.alias("c"), (_byte(key, c) % (n + 1)).alias("h")))
-    bit = lambda c, i: F.floor(c / F.pow(F.lit(2), k - 1 - i)).cast("long") % 2
-    rules = F.transform(F.filter(cells, lambda z: z["h"] < n), lambda z: F.struct(F.transform(_upto(k), lambda i: value(i, bit(z["c"], i))).alias("values"), _named("d", z["h"]).alias("destination_id")))
-    asked = F.transform(_upto(k), lambda i: F.when(_byte(key, "q", i) % 3 == 0, _named("a", i)).when(_byte(key, "q", i) % 3 == 1, _named("b", i)))
-    scenario = F.struct(features.alias("features"), F.transform(_upto(n), lambda i: _named("d", i)).alias("destination_ids"), rules.alias("rules"), asked.alias("query"))
+    scenario = generate.routing_scenario(key, 1 + key % 3, 2 * (1 + F.floor(key / 3) % 3))
     return table(spark, sf_dir, "part").select(key.alias("scenario_id"), scenario.alias("scenario"))
 
 
 def tool_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(scenario_id, scenario): two to six drawn tools over three capabilities, two inputs and two permissions a part."""
     key = F.col("p_partkey")
-    n = 2 * (1 + key % 3)
-    some = lambda mark, size, bits: F.transform(F.filter(_upto(size), lambda i: F.getbit(bits.cast("long"), i) == 1), lambda i: _named(mark, i))
-    tool = lambda j: F.struct(
-        _named("t", j).alias("id"), some("c", 3, 1 + _byte(key, j, "c") % 7).alias("capabilities"), some("i", 2, 1 + _byte(key, j, "i") % 3).alias("input_types"),
-        some("p", 2, _byte(key, j, "p") % 4).alias("required_permissions"), ((_byte(key, j, "x") % 50) * 6 + j).cast("long").alias("cost"),
-    )
-    every = lambda mark, size: F.transform(_upto(size), lambda i: _named(mark, i))
-    granted = F.transform(_upto(2), lambda i: F.when(_byte(key, "g", i) % 3 == 0, F.lit(True)).when(_byte(key, "g", i) % 3 == 1, F.lit(False)))
-    scenario = F.struct(
-        every("c", 3).alias("capabilities"), every("i", 2).alias("input_types"), every("p", 2).alias("permissions"), F.transform(_upto(n), tool).alias("tools"),
-        F.array(_named("c", _byte(key, "r") % 3)).alias("required_capabilities"), _named("i", _byte(key, "n") % 2).alias("input_type"), granted.alias("permission_values"),
-    )
-    return table(spark, sf_dir, "part").select(key.alias("scenario_id"), scenario.alias("scenario"))
+    return table(spark, sf_dir, "part").select(key.alias("scenario_id"), generate.tool_scenario(key, 2 * (1 + key % 3)).alias("scenario"))
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelane.functions.text import split_slot
+from scorelane.operators import generate
 from scorelane.operators import prompts as P
 from scorelane.operators import scenarios as S
 from scorelane.plans import derive
@@ -155,7 +156,7 @@ def _(spark, sf):
 @query("f20_masks", f"WITH q AS (SELECT p_partkey AS id, range(3) AS b FROM part), m AS (SELECT id, list_sum([(1 << i) FOR i IN b IF {BYTE.format('id || chr(58) || i')} % 2 = 0])::INT AS mask FROM q) SELECT id, coalesce(mask, 0) AS mask, coalesce(((mask & 1) << 2) | ((mask >> 1) & 1) | (((mask >> 2) & 1) << 1), 0) AS turned FROM m")
 def _(spark, sf):
     key, domain = F.col("p_partkey"), F.array(*map(F.lit, "xyz"))
-    chosen = F.filter(domain, lambda _, i: derive._byte(key, i) % 2 == 0)
+    chosen = F.filter(domain, lambda _, i: generate._byte(key, i) % 2 == 0)
     rows = derive.table(spark, sf, "part").select(key.alias("id"), S.mask(chosen, domain).alias("mask"))
     return rows.withColumn("turned", S.turned_mask(F.col("mask"), F.array(F.lit(2), F.lit(0), F.lit(1))))
 
@@ -207,3 +208,15 @@ def _(spark, sf):
     s = F.col("scenario")
     rows = derive.tool_scenarios(spark, sf).withColumn("split", split_slot(S.tool_structure(s)))
     return S.menu_table(rows, S.tool_answers(s), S.settled(S.tool_outcomes(s)))
+
+
+@query("r10_generated_routing")
+def _(spark, sf):
+    out = generate.distinct_routing(spark, 20, {"train": 14, "development": 7, "calibration": 7, "test": 7})
+    return out.select("split", "item", "attempt", "case_kind", "structure")
+
+
+@query("r10_generated_tools")
+def _(spark, sf):
+    out = generate.distinct_tools(spark, 20, {"train": 14, "development": 7, "calibration": 7, "test": 7})
+    return out.select("split", "item", "attempt", "case_kind", "structure")

@@ -10,7 +10,9 @@ from itertools import permutations, product
 import pytest
 from pyspark.sql import functions as F
 
-from scorelane.operators import evidence, exact, prompts, scenarios, scoring
+from scorelane.functions.text import split_slot
+from scorelane.operators import evidence, exact, generate, prompts, scenarios, scoring
+from scorelane.operators.workspace import Workspace
 from scorelane.plans import derive
 
 SF = "/root/testdata/sf0.001"
@@ -142,3 +144,32 @@ def test_orders_and_masks(spark):
         spark.range(1).select(scoring.orders(options(5))).collect()
     one = spark.range(1).select(scenarios.mask(F.array(F.lit("c"), F.lit("a")), F.array(*map(F.lit, "abc"))).alias("m")).select("m", scenarios.turned_mask(F.col("m"), F.array(*map(F.lit, (1, 2, 0))))).first()
     assert tuple(one) == (5, 3)
+
+
+def test_distinct_choice_equals_the_walk(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, a, f"k{r.randint(0, 40)}") for i in range(30) for a in range(12)] + [(99, 0, "k0"), (98, 0, "k0")]
+    taken, want = set(), {}
+    for i in sorted({x[0] for x in rows}):
+        for a, k in sorted((a, k) for j, a, k in rows if j == i):
+            if k not in taken:
+                taken.add(k)
+                want[i] = (a, k)
+                break
+    frame = spark.createDataFrame(rows, "item long, attempt int, key string")
+    assert {x["item"]: (x["attempt"], x["key"]) for x in generate.distinct_choice(frame, Workspace(spark, "t")).collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["routing", "tools"])
+def test_generated_scenarios(spark, kind):
+    counts = {"train": 9, "test": 8}
+    make, case, structure = {"routing": (generate.distinct_routing, scenarios.routing_case, scenarios.routing_structure), "tools": (generate.distinct_tools, scenarios.tool_case, scenarios.tool_structure)}[kind]
+    s = F.col("scenario")
+    rows = make(spark, 3, counts).select("*", case(s).alias("own"), structure(s).alias("again"), split_slot(F.col("structure")).alias("slot")).collect()
+    assert len(rows) == 17 and len({r["structure"] for r in rows}) == 17 and sorted(r["item"] for r in rows) == list(range(17))
+    kinds = {"routing": generate.ROUTING_KINDS, "tools": generate.TOOL_KINDS}[kind]
+    for r in rows:
+        at = r["item"] if r["item"] < 9 else r["item"] - 9
+        assert r["own"] == r["case_kind"] == kinds[at % 7] and r["again"] == r["structure"] and r["slot"] == r["split"] == ("train" if r["item"] < 9 else "test")
