@@ -11,7 +11,9 @@ DataFrame functions only; the tables of one row a source stay distributed and wr
 
 Defined cases: a null text has size zero; null is a source of its own, last in order; sources
 without words have target zero and take nothing; documents without words take nothing; repeated
-rows are documents of their own and are rounded alike; an empty table gives an empty table.
+rows (of one id and text) are numbered and their rates are rounded as one running quantity, so that
+any number of them meets its share; columns pass through whatever their names; texts of any length
+are counted whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -86,7 +88,8 @@ def solve(counts: DataFrame, goals: DataFrame, work: Workspace, most: int = MOST
 
 
 def _place(salt: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(salt), "u"), F.lit(PLACES)).cast("int")
+    own = F.when(F.col("nth") == 0, F.col("u")).otherwise(F.xxhash64("u", "nth"))
+    return F.pmod(F.xxhash64(F.lit(salt), own), F.lit(PLACES)).cast("int")
 
 
 def _repaired(copies: Column, k: int, most: int) -> Column:
@@ -98,20 +101,54 @@ def _repaired(copies: Column, k: int, most: int) -> Column:
 
 
 def _copies(rows: DataFrame, plan: DataFrame, rounds: int, most: int) -> DataFrame:
-    """``rows`` (source, size, u) with the columns of their source, rate and copies after the rounds."""
+    """``rows`` (source, size, u, nth) with the columns of their source, rate and copies after the rounds.
+
+    Row n of equal ones gets what the running total of their rates, less the fraction of their hash,
+    passes in whole numbers between n and n + 1; a single row gets the whole copies of its rate and
+    one more if its fraction is above the hash's.
+    """
     at = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     at = at.withColumn("rate", F.when(F.col("size") > 0, F.coalesce(_rate(F.col("size"), most), F.lit(0.0))).otherwise(0.0))
     part = F.pmod(F.col("u"), F.lit(1 << 30)) / float(1 << 30)
-    copies = (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+    passed = lambda n: F.ceil(n * F.col("rate") - part)
+    copies = (passed(F.col("nth") + 1) - passed(F.col("nth"))).cast("long")
     for k in range(rounds):
         at = at.withColumn("copies", copies)
         copies = _repaired(F.col("copies"), k, most)
     return at.withColumn("copies", copies).drop("full", "scale", "lam", *[f"{c}{k}" for k in range(rounds) for c in ("gap", "last")])
 
 
+def words(text: Column) -> Column:
+    """Number of words of a text, zero for null."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> list[Column]:
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return [F.col(source_col).alias("source"), size.alias("size"), F.xxhash64(F.lit("mix"), F.col(id_col), F.xxhash64(F.col(text_col))).alias("u")]
+    return [F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.xxhash64(F.lit("mix"), F.col(id_col), F.xxhash64(F.col(text_col))).alias("u")]
+
+
+def _repeats(rows: DataFrame, work: Workspace) -> DataFrame | None:
+    """The hashes u that several rows bear; None if there are none."""
+    again = work.save(rows.groupBy("u").agg(F.count("*").alias("_n")).filter("_n > 1").select("u"), "repeated")
+    return None if again.isEmpty() else again
+
+
+def _numbered(rows: DataFrame, again: DataFrame | None, work: Workspace) -> DataFrame:
+    """``rows`` with nth, which numbers rows of one hash u from 0; which of equal rows gets which number doesn't matter.
+
+    Only repeated rows are moved. They are numbered within the parts they were read in, after those
+    of the parts before, so one row repeated a billion times isn't gathered in one task.
+    """
+    if again is None:
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    alone = rows.join(again, "u", "left_anti").withColumn("nth", F.lit(0).cast("long"))
+    many = work.save(rows.join(again, "u", "left_semi").withColumn("_part", F.spark_partition_id()), "parts")
+    before = Window.partitionBy("_u").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = many.groupBy(F.col("u").alias("_u"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"))
+    starts = starts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = many.withColumn("_row", F.row_number().over(Window.partitionBy("u", "_part").orderBy("size")))
+    placed = inside.join(starts, (F.col("u") == F.col("_u")) & (F.col("_part") == F.col("_p"))).withColumn("nth", (F.col("_start") + F.col("_row") - 1).cast("long"))
+    return alone.unionByName(placed.drop("_u", "_p", "_part", "_row", "_start"))
 
 
 def plan(rows: DataFrame, work: Workspace, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -122,7 +159,7 @@ def plan(rows: DataFrame, work: Workspace, weights: tuple[int, ...] = WEIGHTS, m
     counts = work.save(counts.select("sid", "size", "n"), "counts")
     rates = solve(counts, goals, work, most)
     state = work.save(goals.withColumnRenamed("source", "_s").join(rates, "sid", "left"), "rates")
-    known = work.save(_copies(rows, state, 0, most).select("sid", "target", "size", "u", "copies"), "rounded")
+    known = work.save(_copies(rows, state, 0, most).select("sid", "target", "size", "u", "nth", "copies"), "rounded")
     for k in range(REPAIRS):
         gaps = work.save(known.groupBy("sid").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias(f"gap{k}")), "gaps")
         own = gaps.select(F.col("sid").alias("_sid"), F.col(f"gap{k}").alias("gap"))
@@ -134,7 +171,7 @@ def plan(rows: DataFrame, work: Workspace, weights: tuple[int, ...] = WEIGHTS, m
         state = state.join(step, "sid", "left")
         if k + 1 < REPAIRS:
             moved = known.join(step.withColumnRenamed("sid", "_sid"), F.col("sid") == F.col("_sid"), "left").withColumn("copies", _repaired(F.col("copies"), k, most))
-            known = work.save(moved.select("sid", "target", "size", "u", "copies"), "rounded")
+            known = work.save(moved.select("sid", "target", "size", "u", "nth", "copies"), "rounded")
     return work.save(state, "plan")
 
 
@@ -146,15 +183,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     work = Workspace(docs.sparkSession, "mix")
     rows = work.save(docs.select(F.col(id_col).alias("id"), *_sized(docs, id_col, text_col, source_col)), "sizes")
+    rows = _numbered(rows, _repeats(rows, work), work)
     done = _copies(rows, plan(rows.drop("id"), work, weights, most), REPAIRS, most)
     return done.select(F.col("id").alias(id_col), "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as the mix takes it; texts aren't shuffled
-    as long as the table of sources is small enough to broadcast."""
+    as long as the tables of sources and of repeated rows are small enough to broadcast."""
     work = Workspace(docs.sparkSession, "mix")
     rows = work.save(docs.select(*_sized(docs, id_col, text_col, source_col)), "sizes")
+    again = _repeats(rows, work)
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *_sized(docs, id_col, text_col, source_col))
-    done = _copies(whole, plan(rows, work, weights, most), REPAIRS, most)
+    done = _copies(_numbered(whole, again, work), plan(_numbered(rows, again, work), work, weights, most), REPAIRS, most)
     return done.filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
