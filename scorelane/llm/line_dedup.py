@@ -20,6 +20,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelane.operators.workspace import spread_again
 
 def _windows(lines: Column, window: int) -> Column:
     """Array of structs, one a window, of the hashes of its lines; a short text has one window."""
@@ -32,7 +33,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     removed_spans holds the merged covered runs as (first, last) line numbers from 0. Window
     counts are combined before the shuffle, so a window that fills a third of the corpus costs
-    one row a task; its occurrences are joined against one row, a join that Spark splits.
+    one row a task; the repeated windows are shuffled anew for the join with their occurrences, so
+    that Spark may split the partition that a frequent one fills.
     """
     key = F.xxhash64(F.col(text_col))
     lines = F.split(F.col(text_col), "\n", -1)
@@ -42,7 +44,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     occurrences = windows.select("id", "key", "pos", *hashed)
     place = F.struct("id", "key", "pos")
     repeated = occurrences.groupBy("x", "y").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last")
-    later = occurrences.join(repeated, ["x", "y"]).filter(~place.eqNullSafe(F.col("first")))
+    later = occurrences.join(spread_again(repeated, ["x", "y"]), ["x", "y"]).filter(~place.eqNullSafe(F.col("first")))
     covered = later.groupBy(F.col("id").alias("_w_id"), F.col("key").alias("_w_key")).agg(F.collect_set("pos").alias("_w_starts"))
 
     # the lines cross the join as an array, so that expressions after it index them in place
