@@ -14,17 +14,21 @@ hashes); every vector is indexed and searched. Hot lists are split into blocks o
 which the asking vectors stream; links are counted and returned as a star per class, never as
 pairs. Vectors without structure reach nearly all lists; then all groups are compared.
 
+Vectors link only with vectors of as many components. Each number of components that more than
+SMALL vectors have gets an index of its own; the vectors of all rarer ones are compared directly.
+
 Defined cases: vectors that are null, of length zero, or hold null or non-finite components link
-with nothing, and so do rows with a null id (component null) and vectors whose number of
-components isn't the most frequent one; equal vectors are one entry with a count, so copies link
-with each other at no cost; repeated rows each give a row and count as copies. Added columns
-replace columns of the same name.
+with nothing, and so do rows with a null id (component null); equal vectors are one entry with a
+count, so copies link with each other at no cost; repeated rows each give a row and count as
+copies; an empty table gives an empty table. Columns pass through whatever their names, and added
+columns replace columns of the same name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -233,6 +237,30 @@ def links(entries: DataFrame, threshold: float, work: Workspace, sample: int = S
     return B.compare(members.unionByName(asking), hold, meet, "node long, links long, root long")
 
 
+def direct_links(entries: DataFrame, threshold: float) -> DataFrame:
+    """As ``links`` for vectors of numbers of components that at most SMALL entries have each: all of a number meet in one block."""
+    rows = entries.select(F.size("v").cast("long").alias("block"), "node", "n", "v")
+
+    def hold(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return batch.column("node").to_numpy(), batch.column("n").to_numpy(), _unit(B.lists(batch.column("v")))
+
+    def meet(held: tuple[np.ndarray, np.ndarray, np.ndarray], batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        node, n, x = held
+        own, q = batch.column("node").to_numpy(), _unit(B.lists(batch.column("v")))
+        near = (q @ x.T >= threshold) & (own[:, None] != node)
+        order = np.argsort(node)
+        place = order[np.searchsorted(node[order], own)]
+        i, j = np.nonzero(near)
+        label = _roots(len(node), place[i], j)
+        least = np.full(len(node), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, node)
+        hit = near.any(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(own[hit]), pa.array((near[hit] @ n).astype(np.int64)), pa.array(least[label][place[hit]])], ["node", "links", "root"])
+
+    both = rows.withColumn("role", F.explode(F.array(F.lit(0), F.lit(1)))).select("block", "role", "node", "n", "v")
+    return B.compare(both, hold, meet, "node long, links long, root long")
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, sample: int = SAMPLE) -> DataFrame:
     """``vectors`` without the vector, with n_links, component_id and kept added.
 
@@ -244,21 +272,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     work = Workspace(spark, "pq")
     vec = F.col(vec_col).cast("array<double>")
     length = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda a, v: a + v * v))
-    kept = vectors.select([c for c in vectors.columns if c not in ("n_links", "component_id", "kept")])
-    sized = kept.filter(B.usable(F.col(vec_col)) & (length > 0)).groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    takes_part = F.coalesce(B.usable(F.col(vec_col)) & (length > 0) & (F.size(vec_col) == (sized["d"] if sized else -1)) & F.col(id_col).isNotNull(), F.lit(False))
+    takes_part = F.coalesce(B.usable(F.col(vec_col)) & (length > 0) & F.col(id_col).isNotNull(), F.lit(False))
     x, y = B.vector_key(vec)
-    rows = kept.filter(takes_part).select(F.col(id_col).cast("long").alias("node"), vec.alias("v"), x, y)
+    rows = vectors.filter(takes_part).select(F.col(id_col).cast("long").alias("node"), vec.alias("v"), x, y)
     entries = rows.groupBy("x", "y").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.first("v").alias("v"))
     entries = work.save(entries, "entries")
-    found = work.save(links(entries, threshold, work, sample), "links")
+    sizes = {r["d"]: r["n"] for r in entries.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).collect()}  # one row a number of components
+    common = [d for d, n in sizes.items() if n > SMALL]
+    found = [links(entries.filter(F.size("v") == d), threshold, work, sample) for d in common]
+    if len(common) < len(sizes) or not sizes:
+        found.append(direct_links(entries.filter(~F.size("v").isin(common)) if common else entries, threshold))
+    found = work.save(reduce(DataFrame.unionByName, found), "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = connected_components(found, "node", "root", work)
     named = entries.select("x", "y", "n", F.col("node").alias("e")).join(counts, F.col("e") == F.col("node"), "left").drop("node")
     named = named.join(parts, F.col("e") == F.col("node"), "left").drop("node")
-    named = named.select(F.col("x").alias("_x"), F.col("y").alias("_y"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "e").alias("component_id"))
+    named = named.select("x", "y", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "e").alias("component"))
+
+    names = [c for c in vectors.columns if c not in (vec_col, "n_links", "component_id", "kept")]
     key = F.when(takes_part, F.struct(x, y))
-    out = kept.join(named, (key["x"] == F.col("_x")) & (key["y"] == F.col("_y")), "left")
-    names = [c for c in kept.columns if c != vec_col]
-    component = F.coalesce("component_id", id_col)
-    return out.select(*names, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(False)).alias("kept"))
+    whole = vectors.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(id_col).alias("own"), key.alias("key"))
+    out = whole.join(named, (F.col("key.x") == F.col("x")) & (F.col("key.y") == F.col("y")), "left")
+    component = F.coalesce("component", "own")
+    added = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("own") == component, F.lit(False)).alias("kept")]
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], *added)
