@@ -43,7 +43,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat_format.rotate(table(spark, sf_dir, "conversations"))
     mask = F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["first"], s["end"])), ",")
-    return out.select("conv_id", "perspective", "part", F.col("n_turns").cast("long").alias("n_turns"), "text", mask.alias("mask"))
+    return out.select("conv_id", "perspective", F.col("n_turns").cast("long").alias("n_turns"), "text", mask.alias("mask"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,16 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq_dedup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets that op6 mixes to, one row a source."""
+    docs = table(spark, sf_dir, "documents")
+    out = mixing.targets(docs.select("source", mixing.words(F.col("text")).alias("size")))
+    return out.select("source", "source_size", F.round("target", 6).alias("target"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_simhash_near_dedup, op3_token_store, op4_quality_classifier, op5_chat_perspectives, op6_mixing, op7_url_filter, op8_exact_top_k, op9_byte_bpe, op10_embedding_near_dedup)
+    for f in (op1_line_dedup, op2_simhash_near_dedup, op3_token_store, op4_quality_classifier, op5_chat_perspectives, op6_mixing, op7_url_filter, op8_exact_top_k, op9_byte_bpe, op10_embedding_near_dedup, mix_targets)
 }
 
 #: Windows are compared as texts, not as hashes; ids are unique in the tables it runs on.
@@ -99,23 +106,23 @@ FROM documents d LEFT JOIN lines l ON d.doc_id = l.doc_id LEFT JOIN spans s ON d
 
 OP5_SQL = r"""
 WITH said AS (
-  SELECT DISTINCT conv_id, floor(turn / 256)::BIGINT AS part, turn, nullif(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT DISTINCT conv_id, turn, nullif(role, '') AS role, coalesce(text, '') AS text FROM conversations
 ), speakers AS (
   SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role IS NOT NULL AND role <> 'system'
 ), cut AS (
-  SELECT s.conv_id, perspective, part, turn, role, s.text, coalesce(role = perspective, false) AS own,
+  SELECT s.conv_id, perspective, turn, role, s.text, coalesce(role = perspective, false) AS own,
     '<|im_start|>' || CASE WHEN coalesce(role = 'system', false) THEN 'system' WHEN coalesce(role = perspective, false) THEN 'assistant'
       ELSE 'user name=' || regexp_replace(coalesce(role, 'unknown'), '[\r\n]|<\|', '_', 'g') END || chr(10) AS top,
     replace(s.text, '<|', '< |') || '<|im_end|>' || chr(10) AS body
   FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), placed AS (
   SELECT *, (sum(length(top) + length(body)) OVER w)::BIGINT AS stop FROM cut
-  WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS UNBOUNDED PRECEDING)
+  WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role NULLS FIRST, text ROWS UNBOUNDED PRECEDING)
 )
-SELECT conv_id, perspective, part, count(*) AS n_turns,
+SELECT conv_id, perspective, count(*) AS n_turns,
   string_agg(top || body, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text) AS text,
   coalesce(string_agg((stop - length(body)) || '-' || stop, ',' ORDER BY stop) FILTER (WHERE own), '') AS mask
-FROM placed GROUP BY conv_id, perspective, part
+FROM placed GROUP BY conv_id, perspective
 """
 
 OP7_SQL = r"""
@@ -147,4 +154,30 @@ WITH rows AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
-SQL: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op5_chat_perspectives": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_exact_top_k": OP8_SQL}
+OP10_SQL = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v))) >= 0.9::DOUBLE
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+), found AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM pairs p WHERE p.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN found ON a = vec_id
+"""
+
+#: The level of sources that share is the largest of those that result if the sources of the smallest ratios are stopped.
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+), per AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM sized GROUP BY source
+), weighed AS (SELECT *, (1 + (sid - 1) % 3)::DOUBLE AS weight, (3 * source_size)::DOUBLE AS top, sum(source_size) OVER () AS total FROM per
+), stopped AS (
+  SELECT *, (total - coalesce(sum(top) OVER (ORDER BY top / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY top / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
+)
+SELECT source, source_size, round(least(weight * (SELECT max(level) FROM stopped), top), 6) AS target FROM stopped
+"""
+
+SQL: dict[str, str] = {"op10_embedding_near_dedup": OP10_SQL, "mix_targets": MIX_SQL, "op1_line_dedup": OP1_SQL, "op5_chat_perspectives": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_exact_top_k": OP8_SQL}
