@@ -17,7 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers of this session receive."""
+    """Bound the Arrow batches that Python workers of this session receive.
+
+    The two settings stay: results are worked out after an operator returns, and smaller batches
+    change no result of any other query.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
 
