@@ -340,3 +340,19 @@ def _(spark, sf):
     rows = derive.table(spark, sf, "conversations").select("conv_id", "turn", "role", F.floor(F.col("turn") / 2).alias("ts"))
     calls = F.when(F.col("turn") % 3 == 0, F.array(F.lit("b"))).when(F.col("turn") % 3 == 1, F.array(F.lit("b"), F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
     return stats.event_faults(rows.withColumn("calls", calls), "conv_id", "turn", "ts", "role", ["system", "user", "assistant", "user"], "calls")
+
+
+@query("u04_complete_groups", f"WITH {RECORDS}, g AS (SELECT source_group_id, dataset_id, list_sort(list(DISTINCT answer_id)) AS s FROM records WHERE doc_id % 3 > 0 GROUP BY ALL), n AS (SELECT source_group_id || dataset_id AS g, s FROM g) SELECT g, s = ['high', 'low'] AS exact FROM n WHERE list_has_all(s, ['high']) ")
+def _(spark, sf):
+    rows = derive.records(spark, sf).filter("doc_id % 3 > 0").withColumn("g", F.concat("source_group_id", "dataset_id"))
+    some = records.complete_groups(rows, "g", "answer_id", ["high"])
+    both = records.complete_groups(rows, "g", "answer_id", ["high", "low"], exact=True).withColumn("_e", F.lit(True))
+    return some.join(both, "g", "left").select("g", F.coalesce("_e", F.lit(False)).alias("exact"))
+
+
+@query("l04_label_order", "WITH x AS (SELECT DISTINCT CASE WHEN p_size % 7 = 0 THEN 'x' || p_size ELSE p_size::VARCHAR END AS label FROM part) SELECT label, row_number() OVER (ORDER BY try_cast(label AS BIGINT) IS NULL, try_cast(label AS BIGINT), label) - 1 AS place FROM x")
+def _(spark, sf):
+    size = F.col("p_size").cast("string")
+    labels = derive.table(spark, sf, "part").select(F.when(F.col("p_size") % 7 == 0, F.concat(F.lit("x"), size)).otherwise(size).alias("label")).distinct()
+    ranked = labels.withColumn("_o", records.label_order(F.col("label")))
+    return records.numbered(ranked, ["_o"], "place").select("label", F.col("place").cast("long").alias("place"))

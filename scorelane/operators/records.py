@@ -230,3 +230,17 @@ def source_items(rows: DataFrame, key: list[str], anchors: list[tuple[str, str]]
         F.count_if(F.col("labels") == 1).alias("consistent_pairs"), F.count_if(F.col("labels") == 0).alias("unlabelled_pairs"),
     )
     return items, raw.crossJoin(counts).crossJoin(named.agg(F.countDistinct("group_id").alias("groups")))  # one row each
+
+
+def complete_groups(rows: DataFrame, group: str, label: str, labels: list[str], exact: bool = False) -> DataFrame:
+    """(group) of the groups that hold every label; ``exact``: these labels and no other."""
+    sets = rows.groupBy(group).agg(F.collect_set(label).alias("_s"))
+    wanted = F.array(*map(F.lit, labels))
+    full = F.size(F.array_except(wanted, "_s")) == 0
+    return sets.filter(full & (F.size("_s") == len(set(labels))) if exact else full).select(group)
+
+
+def label_order(label: Column) -> Column:
+    """What labels sort by: whole numbers first, by value, then the others as text."""
+    number = label.try_cast("long")
+    return F.struct(number.isNull().alias("text"), number.alias("number"), label.alias("label"))
