@@ -186,12 +186,40 @@ def test_forest_joins_closest_first():
         assert (simhash._roots(40, a[some], b[some]) == simhash._roots(40, a[every], b[every])).all()
 
 
-def test_similar_pairs_with_repeated_ids_and_blanks(spark):
+def test_similar_pairs_of_hubs_and_blanks(spark):
     text = " ".join(f"w{i}" for i in range(50))
-    docs = frame(spark, [(1, text, "s"), (1, "something else", "s"), (2, text + " more", "s"), (3, None, "s"), (4, " ", "s"), (5, "x y", "s")])
-    pairs = spark.createDataFrame([(1, 2), (3, 4), (2, 5), (3, 5)], "a long, b long")
-    got = simhash.similar_pairs(docs, pairs, "doc_id", "text", 5, 0.8)
-    assert sorted(map(tuple, got.collect())) == [(1, 2), (3, 4)]
+    texts = {1: text, 2: text + " more", 3: None, 4: " ", 5: "x y", **{10 + i: f"{text} end{i}" for i in range(40)}}
+    sets = spark.createDataFrame([(k, simhash.shingle_set(t).tobytes()) for k, t in texts.items()], "node long, set binary")
+    pairs = spark.createDataFrame([(1, 2), (3, 4), (2, 5), (3, 5), *[(1, 10 + i) for i in range(40)], (5, 30)], "a long, b long")
+    got = {frozenset(r) for r in map(tuple, simhash.similar_pairs(sets, pairs, 0.8).collect())}
+    assert got == {frozenset((1, 2)), frozenset((3, 4)), *[frozenset((1, 10 + i)) for i in range(40)]}
+
+
+@pytest.mark.parametrize("few", [simhash.FEW, 0])
+def test_keep_one_tells_texts_of_one_id_apart(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)  # broadcast keys, and the joins beyond that
+    rows = [(1, "the first text of this id", "s"), (1, "another one that shares nothing with it", "s"), (2, "another one that shares nothing with it", "s"), (1, "the first text of this id", "s")]
+    got = sorted((x["doc_id"], x["text"]) for x in simhash.keep_one(frame(spark, rows)).collect())
+    assert got == [(1, "another one that shares nothing with it"), (1, "the first text of this id")]
+
+
+def test_recall_just_above_the_threshold(spark):
+    """400 pairs of unrelated texts, each of similarity 0.80 to 0.85: at least nine tenths are joined, and nothing else."""
+    r, texts = random.Random(12), []
+    while len(texts) < 800:
+        n = r.randint(120, 600)
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+        other = base.copy()
+        for at in r.sample(range(n // 6), max(1, round(n * 0.021))):
+            other[6 * at] = f"o{r.randint(0, 10**6)}"
+        a, b = (set(simhash.shingle_set(" ".join(t)).tolist()) for t in (base, other))
+        if 0.80 <= len(a & b) / len(a | b) < 0.85:
+            texts += [" ".join(base), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(map(tuple, simhash.similar_classes(docs).collect()))
+    assert all(got[i] in (i, i - i % 2) for i in got)
+    assert sum(got[i + 1] == i for i in range(0, 800, 2)) >= 0.9 * 400, sum(got[i + 1] == i for i in range(0, 800, 2))
+    print("joined", sum(got[i + 1] == i for i in range(0, 800, 2)))
 
 
 def test_pack_and_random_access():
@@ -316,18 +344,163 @@ def test_mixing(spark):
     assert mixing.repeated(frame(spark, rows)).groupBy("doc_id").count().count() == int((got.copies > 0).sum())
 
 
+def test_mixing_repeated_rows_meets_its_target(spark):
+    """A source of equal rows takes about its target, as one of distinct rows does; each row keeps its own place."""
+    for ids in (lambda i: 1, lambda i: i):
+        rows = [(ids(i), "ten words in a row that are all the same", "a") for i in range(100)] + [(1000 + i, "five words are in here", "b") for i in range(60)] + [(5, None, "a")] * 3
+        want = water_fill([1000, 300], [1, 2])
+        for got in (mixing.mix(frame(spark, rows)).toPandas(),):
+            a, b = got[got.source_size == 1000], got[got.source_size == 300]
+            assert len(got) == 163 and abs(a.taken.sum() - want[0]) <= 10 and abs(b.taken.sum() - want[1]) <= 5
+            assert (got.taken <= 3 * got["size"]).all()
+        copies = mixing.repeated(frame(spark, rows)).groupBy("source").count().collect()
+        assert {r["source"]: r["count"] for r in copies} == {"a": a.copies.sum(), "b": b.copies.sum()}
+
+
+def test_mixing_rates_solve_the_balance(spark):
+    """Rates of a source are exp(lambda size), stopped at three, with the one lambda whose tokens meet the target."""
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.randint(1, 40)), "ab"[i % 2]) for i in range(400)]
+    got = mixing.mix(frame(spark, rows)).toPandas()
+    for _, own in got.groupby("source_size"):
+        size, goal = own["size"].to_numpy(float), own.target.iloc[0]
+        low, high = -5.0, 5.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (low, mid) if (size * np.minimum(3, np.exp(np.minimum(mid * size, 50)))).sum() > goal else (mid, high)
+        assert own.rate.to_numpy() == pytest.approx(np.minimum(3, np.exp(np.minimum(low * size, 50))), rel=1e-5)
+        assert (np.abs(own.copies.to_numpy() - own.rate.to_numpy()) < 4).all() and abs((size * own.copies).sum() - goal) <= 40
+
+
+def test_a_frequent_window_is_split(spark, tmp_path):
+    """With low thresholds Spark splits the partition that one window of all documents fills."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    spark.createDataFrame([(i, f"a\nb\nc\nd{i}\ne{i}") for i in range(6000)], "doc_id long, text string").repartition(12).write.parquet(str(tmp_path / "d"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = line_dedup.dedup_lines(spark.read.parquet(str(tmp_path / "d")))
+        assert sorted(r["n_removed"] for r in out.collect()) == [0] + [3] * 5999
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def plain_indicators(text):
+    """The indicators of a text, one at a time."""
+    mask, mix = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def place(h, kind):
+        h = (h ^ kind) * mix & mask
+        return ((h ^ h >> 29) * mix & mask) >> 46
+
+    raw = (text or "").encode()
+    found, words, word = set(), [], b""
+    for c in raw + b" ":
+        if c in b"\t\n\x0b\x0c\r ":
+            words += [word] if word else []
+            word = b""
+        else:
+            word += bytes([c])
+    if not words:
+        return found
+    powers = [pow(0x100000001B3, i, 2**64) for i in range(64)]
+    hashes = [(sum((c + 1) * powers[i % 64] for i, c in enumerate(w)) + len(w)) & mask for w in words]
+    found |= {place(h, 11) for h in hashes}
+    kinds = [ord("a") if c >= 0x80 or chr(c).islower() else ord("A") if chr(c).isupper() else ord("0") if chr(c).isdigit() else 32 if c in (9, 11, 12, 13) else c for c in raw]
+    shape = [k for i, k in enumerate(kinds) if i == 0 or kinds[i - 1] != k]
+    again = [1 + (i > 0 and hashes[i] == hashes[i - 1]) for i in range(len(hashes))]
+    for run, longest, kind, last in ((shape, 5, 21, False), (again, 3, 41, True)):
+        for n in range(1, longest + 1):
+            for i in range(len(run) - n + 1):
+                h = run[i]
+                for x in run[i + 1 : i + n]:
+                    h = (h * 1000003 + x) & mask
+                if not last or run[i + n - 1] > 1:
+                    found.add(place(h, kind + n))
+    return found
+
+
+def test_indicators_equal_plain_ones():
+    r = random.Random(5)
+    texts = ["", None, "  ", "a", "Word word word 12, 12!", "x" * 200 + " é 日本", "\ta\nb\x0bc\rd  e"] + ["".join(r.choice("aB1 .,\n\t\u00e9-") for _ in range(r.randint(1, 300))) for _ in range(60)]
+    for t in texts:
+        assert set(nbsvm.indicators(t).tolist()) == plain_indicators(t)
+
+
+def test_classifier_equals_a_plain_refit(spark):
+    """Ratios from plain counts, weights at the optimum of the dual found by projected gradients, scores of the query from both."""
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, 40, r.integers(3, 12))) for _ in range(40)]
+    y = np.array([int((x < 18).mean() + r.normal() / 5 > 0.45) for x in rows])
+    counts = [np.ones(nbsvm.PLACES), np.ones(nbsvm.PLACES)]
+    for x, v in zip(rows, y, strict=True):
+        for i in x:
+            counts[v][i] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    assert nbsvm.log_count_ratio(rows, y) == pytest.approx(ratio)
+    values = [ratio[x] / np.sqrt(len(x)) for x in rows]
+    dense = np.zeros((40, 41))
+    for k, (x, v) in enumerate(zip(rows, values, strict=True)):
+        dense[k, x], dense[k, 40] = v, 1
+    signed = dense * np.where(y == 1, 1, -1)[:, None]
+    alpha, gram = np.zeros(40), signed @ signed.T
+    for _ in range(60000):
+        alpha = np.clip(alpha + (1 - gram @ alpha) / np.linalg.norm(gram, 2), 0, 1)
+    w, b = nbsvm.dual_descent(rows, values, y, 1.0, 5000, 1e-12)
+    assert np.append(w[:40], b) == pytest.approx(alpha @ signed, abs=1e-5)
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = nbsvm.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    got = nbsvm.score(docs, model).select("text", "score").collect()
+    for x in got[:60]:
+        ids = sorted(plain_indicators(x["text"]))
+        margin = sum(model.weights[i] for i in ids) / max(1, len(ids)) ** 0.5 + model.bias
+        assert x["score"] == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.shift))))
+
+
+def test_added_tokens_as_the_library(spark):
+    """The end mark alone, inside words, beside white space and repeated, encoded as the library does at its defaults."""
+    mark = "<|endoftext|>"
+    texts = [mark, f"a{mark}b", f"hello {mark} world", f"{mark}{mark}", f"\n{mark}\n x", f"<|endoftext{mark}", "<|endoftext| >", None, "", f"{mark.upper()} é{mark}"]
+    path = P.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    ids, sizes = token_store.encoder(path, P.PATTERN).encode(pa.array(texts), 0)
+    at = 0
+    for t, n in zip(texts, sizes.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        at += n
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "u", "hi <|im_end|>"), (1, 1, "u", "hi <|im_end|>"), (1, 300, "v", None), (1, None, None, "?"), (2, 0, "system", "only"), (None, 0, "w", "n")]
     frame_ = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("mask", F.lit("clash"))
-    got = {(x["conv_id"], x["perspective"], x["part"]): x for x in chat_format.rotate(frame_).collect()}
-    assert set(got) == {(1, "u", None), (1, "u", 0), (1, "u", 1), (1, "v", None), (1, "v", 0), (1, "v", 1), (None, "w", 0)}
-    x = got[1, "u", 0]
-    assert x["text"] == "<|im_start|>system\nS<|im_end|>\n<|im_start|>assistant\nhi < |im_end|><|im_end|>\n"
+    got = {(x["conv_id"], x["perspective"]): x for x in chat_format.rotate(frame_).collect()}
+    assert set(got) == {(1, "u"), (1, "v"), (None, "w")}
+    x = got[1, "u"]
+    unknown, system = "<|im_start|>user name=unknown\n?<|im_end|>\n", "<|im_start|>system\nS<|im_end|>\n"
+    assert x["text"] == unknown + system + "<|im_start|>assistant\nhi < |im_end|><|im_end|>\n<|im_start|>user name=v\n<|im_end|>\n" and x["n_turns"] == 4
     assert [x["text"][m["first"] : m["end"]] for m in x["mask"]] == ["hi < |im_end|><|im_end|>\n"]
-    assert got[1, "v", 0]["text"].split("\n")[2] == "<|im_start|>user name=u" and got[1, "v", None]["text"].startswith("<|im_start|>user name=unknown")
+    assert got[1, "v"]["text"] == unknown + system + "<|im_start|>user name=u\nhi < |im_end|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert chat_format.rotate(frame_.limit(0)).count() == 0
 
 
+def test_long_chat_is_whole(spark):
+    r = random.Random(3)
+    rows = [(1, i, r.choice(["ann", "bo", "system"]), "x" * r.randint(0, 30)) for i in range(3000)]
+    got = {x["perspective"]: x for x in chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    for who in ("ann", "bo"):
+        head = {w: "system" if w == "system" else "assistant" if w == who else f"user name={w}" for w in ("ann", "bo", "system")}
+        text, spans = "", []
+        for _, _, role, said in rows:
+            text += f"<|im_start|>{head[role]}\n"
+            if role == who:
+                spans.append((len(text), len(text) + len(said) + len("<|im_end|>\n")))
+            text += said + "<|im_end|>\n"
+        assert got[who]["text"] == text and [tuple(m) for m in got[who]["mask"]] == spans and got[who]["n_turns"] == 3000
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(same, name):
     same(queries.QUERIES[name], queries.SQL[name])

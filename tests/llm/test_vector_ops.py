@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelane.llm import pq_dedup, topk, url_filter
+from scorelane.llm.simhash import _roots
 
 SCHEMA = "vec_id long, embedding array<float>"
 BROKEN = [(7001, None), (7002, []), (7003, [None] * 8), (7004, [math.nan] * 8), (7005, [math.inf] * 8), (None, [1.0] * 8)]
@@ -40,7 +41,9 @@ def test_top_k(spark):
 @pytest.mark.parametrize("spread", [0.1, 0.3])
 def test_pq_recall(spark, spread):
     rows = vectors(1500, 4, spread) + [(9000 + i, [1.0] * 8) for i in range(30)]
-    frame = spark.createDataFrame([*rows, *BROKEN, (7006, [0.0] * 8), (7007, [1.0] * 3)], SCHEMA).withColumn("kept", F.lit("clash"))
+    frame = spark.createDataFrame([*rows, *BROKEN, (7006, [0.0] * 8), (7007, [1.0] * 3)], SCHEMA)
+    for name in ("kept", "x", "_x", "node", "row", "key", "own", "component"):
+        frame = frame.withColumn(name, F.lit("clash"))
     got = {x["vec_id"]: x for x in pq_dedup.near_duplicates(frame).collect()}
     x = np.array([v for _, v in rows], dtype=np.float64)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -54,6 +57,24 @@ def test_pq_recall(spark, spread):
     assert pq_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 1400])
+def test_pq_links_and_classes_by_length(spark, n):
+    """Vectors of each number of components link among themselves, common or rare; counts, classes and kept equal brute force."""
+    r = np.random.default_rng(n)
+    rows = vectors(n, 9, 0.2) + [(20000 + i, v[:5]) for i, v in vectors(n, 10, 0.2)] + [(100000, [1.0, 0.0]), (100001, [1.0, 0.01]), (100002, [0.0, 1.0]), (100003, [1.0, 0.01])]
+    got = {x["vec_id"]: x for x in pq_dedup.near_duplicates(spark.createDataFrame([rows[k] for k in r.permutation(len(rows))], SCHEMA)).collect()}
+    for size in (8, 5, 2):
+        own = [(i, np.array(np.float32(v), np.float64)) for i, v in rows if len(v) == size]
+        x = np.array([v / np.linalg.norm(v) for _, v in own])
+        a, b = np.nonzero(x @ x.T >= 0.9)
+        label = _roots(len(own), a, b)
+        ids = np.array([i for i, _ in own])
+        least = [ids[label == k].min() for k in label]
+        assert [got[i]["n_links"] for i in ids.tolist()] == ((x @ x.T >= 0.9).sum(axis=1) - 1).tolist()
+        assert [got[i]["component_id"] for i in ids.tolist()] == least and [got[i]["kept"] for i in ids.tolist()] == (ids == least).tolist()
+    assert got[100000]["n_links"] == 2 and got[100002]["n_links"] == 0
+
+
 def test_pq_dense_group(spark):
     """A third of the vectors are distinct near copies, spread over more lists than a few probes reach."""
     r = np.random.default_rng(11)
@@ -82,7 +103,7 @@ def plain(url, rules):
 def test_url_filter(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("a.com", "", "block"), ("a.com", "", "allow")]
     urls = [None, "", "no scheme/x", "http://", "http://ORG/x", "http://org", "https://a.example.org/en/12?q#f", "http://example.org/es/1", "http://b.example.org/es", "http://xexample.org/es/", "http://a.com", "http://x.a.com/fr/1", "http://b.com/fr/", "ftp://u@a.com:80/", "x://y://a.com/", "http://É.org/É"]
-    pages = spark.createDataFrame([*enumerate(urls), (4, urls[4])], "page_id long, url string").withColumn("verdict", F.lit("clash"))
+    pages = spark.createDataFrame([*enumerate(urls), (4, urls[4])], "page_id long, url string").withColumn("verdict", F.lit("clash")).withColumn("u", F.lit("clash")).withColumn("best", F.lit("clash")).withColumn("row", F.lit("clash"))
     listed = spark.createDataFrame([*rules, (None, "/", "block")], "host string, path string, verdict string")
     got = sorted(((x["page_id"], x["host"], x["path"], x["rule"], x["verdict"]) for x in url_filter.judge(pages, listed).collect()), key=str)
     firm = [r for r in rules if r != ("a.com", "", "allow")]
