@@ -9,7 +9,9 @@ positives; the longest rule left wins.
 Defined cases: a null URL and one without "://" have an empty host and path; no rule fits an empty
 host unless one is listed for it; a rule listed twice counts once, block before allow; URLs without
 a rule get ``otherwise``; repeated rows each give a row; an empty list leaves ``otherwise`` for all.
-Rules with a null part are ignored. Columns added replace columns of the same name.
+Rules with a null part are ignored; an empty table of pages gives an empty table; a URL of any length
+is judged whole. Columns pass through whatever their names; those added replace columns of the same
+name.
 """
 
 from __future__ import annotations
@@ -92,9 +94,11 @@ def judge(pages: DataFrame, rules: DataFrame, url_col: str = "url", otherwise: s
     def possible(hashes: pa.Array) -> pa.Array:
         return pa.array(may_hold(sent.value, hashes.to_numpy(zero_copy_only=False)))
 
-    hits = keys.filter(possible(F.xxhash64("r_host", "r_path"))).join(listed, ["r_host", "r_path"])
+    # the exact join: possible hits meet the list's rows in a hash table
+    hits = keys.filter(possible(F.xxhash64("r_host", "r_path"))).join(listed.hint("shuffle_hash"), ["r_host", "r_path"])
     rule = F.concat("r_host", "r_path")
     best = hits.groupBy("u").agg(F.max(F.struct(F.length(rule).alias("n"), rule.alias("rule"), "r_verdict")).alias("best"))
-    kept = pages.select([c for c in pages.columns if c not in ("host", "path", "rule", "verdict")])
-    judged = kept.join(best, F.col(url_col) == F.col("u"), "left")
-    return judged.select(*kept.columns, host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(otherwise)).alias("verdict"))
+    names = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    whole = pages.select(F.struct(*[F.col(c) for c in names]).alias("row"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"))
+    judged = whole.join(best, F.col("url") == F.col("u"), "left")
+    return judged.select(*[F.col(f"row.`{c}`").alias(c) for c in names], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(otherwise)).alias("verdict"))
