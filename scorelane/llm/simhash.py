@@ -279,6 +279,8 @@ SLIP = 1
 PAIRS = 1 << 19
 #: Tables searched first; what they link is one label in the others, so that large groups cost few links.
 EARLY = 3
+#: Rows of three longs that are broadcast at most (6 MB).
+FEW = 1 << 18
 #: Shingles that a block of a group of candidates holds about, and partners that a block of a hub has at most about.
 HELD, PARTNERS = 1 << 20, 1 << 16
 
@@ -486,6 +488,11 @@ def group_links(sets: DataFrame, labels: DataFrame, ends: DataFrame, similarity:
     return B.compare(members.unionByName(asking), hold, meet, "la long, lb long").distinct()
 
 
+def few(written: DataFrame) -> DataFrame:
+    """``written`` (three longs a row) marked for broadcasting if it has at most FEW rows, so that texts joined with it stay where they are; as it is beyond that."""
+    return F.broadcast(written) if written.count() <= FEW else written
+
+
 def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, key, component) of the distinct pairs of an id and a text (key: 128 bits of it): classes of similar texts.
 
@@ -520,6 +527,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def sets_of(wanted: DataFrame) -> DataFrame:
         """(node, set) of the nodes named: the shingles of one text of each."""
         own = nodes.select("node", F.col("key.x").alias("_x"), F.col("key.y").alias("_y")).join(wanted, "node", "left_semi")
+        own = few(work.save(own, "wanted"))
         texts = named.select(F.col("key.x").alias("x"), F.col("key.y").alias("y"), "text")
         found = texts.join(own, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).dropDuplicates(["node"])
         return work.save(found.select("node", _sets(F.col("text"), words).alias("set")), "texts")
@@ -602,11 +610,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     Rows of one id with different texts are rows of their own; of rows that agree in id and text one
     stays. Rows without an id pass through, and columns whatever their names. See similar_rows for
-    the other cases.
+    the other cases. Texts are shuffled only where more rows go, or are repeated, than are broadcast.
     """
-    rows = similar_rows(docs, id_col, text_col, words, similarity)
-    first = rows.groupBy("component").agg(F.min(F.struct("id", "key")).alias("first"))
-    kept = first.select(F.col("first.id").alias("_k_id"), F.col("first.key.x").alias("_k_x"), F.col("first.key.y").alias("_k_y"))
+    work = Workspace(docs.sparkSession, "kept")
+    rows = work.save(similar_rows(docs, id_col, text_col, words, similarity), "classes")
+    first = rows.groupBy(F.col("component").alias("_c")).agg(F.min(F.struct("id", "key")).alias("first"))
+    others = rows.join(first, F.col("component") == F.col("_c")).filter(F.struct("id", "key") != F.col("first"))
+    named = lambda df: few(work.save(df.select(F.col("id").alias("_k_id"), F.col("key.x").alias("_k_x"), F.col("key.y").alias("_k_y")), "rows"))
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_key"))
-    own = whole.join(kept, (F.col("_id") == F.col("_k_id")) & (F.col("_key.x") == F.col("_k_x")) & (F.col("_key.y") == F.col("_k_y")), "left_semi")
-    return own.dropDuplicates(["_id", "_key"]).select("row.*").unionByName(docs.filter(F.col(id_col).isNull()))
+    same = (F.col("_id") == F.col("_k_id")) & (F.col("_key.x") == F.col("_k_x")) & (F.col("_key.y") == F.col("_k_y"))
+    kept = whole.join(named(others), same, "left_anti")
+    again = whole.filter("_id IS NOT NULL").groupBy(F.col("_id").alias("id"), F.col("_key").alias("key")).agg(F.count("*").alias("n")).filter("n > 1")
+    again = named(again)
+    if again.isEmpty():
+        return kept.select("row.*")
+    once = kept.join(again, same, "left_semi").dropDuplicates(["_id", "_key"])
+    return kept.join(again, same, "left_anti").unionByName(once).select("row.*")
