@@ -227,7 +227,7 @@ def _values(spark, sf):
 
 @query("a11_exact_accuracy", f"{EXACT} SELECT state, task, round(a, 9) AS accuracy FROM v")
 def _(spark, sf):
-    return _values(spark, sf).select("state", "task", F.round(F.col("num").cast("double") / F.col("den").cast("double"), 9).alias("accuracy"))
+    return _values(spark, sf).select("state", "task", F.round(exact.ratio("num", "den"), 9).alias("accuracy"))
 
 
 @query("t10_gate_set", f"{EXACT}, d AS (SELECT f.task, f.a - b.a AS delta FROM v f JOIN v b ON f.task = b.task AND f.state = 'treatment' AND b.state = 'base') SELECT 'gain ' || task AS gate, round(delta, 9) AS delta, delta >= -0.05::DOUBLE AS passes FROM d UNION ALL SELECT 'strict ' || task, round(delta, 9), delta >= -0.05::DOUBLE AND task = 'quality-de' FROM d")

@@ -1,7 +1,8 @@
 """Exact fractions of whole numbers: means of means, bootstraps of them, and gates on them.
 
-A fraction is a pair of decimal(38,0) columns. Sums are brought to the least common multiple of
-the denominators that occur; where that passes 38 digits Spark raises, it never rounds.
+A fraction is a pair of columns of decimal digits: whole numbers of any length, in lowest terms where
+this module makes them. Spark adds the numerators of each denominator; the sums of a group, one a
+denominator that occurs in it, meet in one row, where Python adds them. Nothing is rounded.
 """
 
 from __future__ import annotations
@@ -9,11 +10,20 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import sys
+from collections import defaultdict
+from fractions import Fraction
+from itertools import zip_longest
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
 WIDE = "decimal(38,0)"
+#: Digits of the pieces in which Spark adds long numerators; sums of 10^20 rows fit 38 digits.
+PIECE = 18
+MEAN = StructType().add("num", StringType()).add("den", StringType()).add("n", LongType())
 #: Euclid's steps that two numbers of 19 digits need at most.
 STEPS = 92
 
@@ -30,30 +40,66 @@ def lcm_all(values: Column) -> Column:
     return F.aggregate(values, F.lit(1).cast("long"), lambda a, v: F.call_function("div", a, gcd(a, v)) * v.cast("long"))
 
 
-def _mean(parts: DataFrame, by: list[str], num: str, den: str) -> DataFrame:
-    """(by..., num, den, n): mean of the fractions num / den of each group."""
-    whole = parts.groupBy(*by).agg(F.collect_set(F.col(den).cast("long")).alias("_d")).select(*by, lcm_all(F.col("_d")).alias("_lcm"))
-    at = parts.join(whole, by) if by else parts.crossJoin(whole)
-    scaled = F.col(num).cast(WIDE) * F.call_function("div", F.col("_lcm"), F.col(den).cast("long")).cast("decimal(19,0)")
-    got = at.groupBy(*by).agg(F.sum(scaled.cast(WIDE)).cast(WIDE).alias("num"), F.first("_lcm").alias("_l"), F.count("*").alias("n"))
-    return got.select(*by, "num", (F.col("_l").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")).cast(WIDE).alias("den"), "n")
+def _added(parts: list[Fraction]) -> Fraction:
+    """Sum of at least one fraction, in pairs, so that few additions are of long numbers."""
+    while len(parts) > 1:
+        parts = [a + b for a, b in zip_longest(parts[::2], parts[1::2], fillvalue=Fraction())]
+    return parts[0]
+
+
+@F.arrow_udf(MEAN)
+def _mean_of(groups: pa.Array) -> pa.Array:
+    """Mean of fractions given as sums: each (den, at, num, n) stands for n of them, which add up to num * 10^at / den."""
+    sys.set_int_max_str_digits(0)
+    out = []
+    for parts in groups.to_pylist():
+        sums: dict[str, int] = defaultdict(int)
+        for p in parts:
+            if p["num"] is not None:
+                sums[p["den"]] += int(p["num"]) * 10 ** p["at"]
+        n = sum(p["n"] for p in parts)
+        mean = _added([Fraction(num, int(den)) for den, num in sums.items()]) / n if sums else None
+        out.append({"num": None, "den": None, "n": n} if mean is None else {"num": str(mean.numerator), "den": str(mean.denominator), "n": n})
+    return pa.array(out, pa.struct([("num", pa.string()), ("den", pa.string()), ("n", pa.int64())]))
+
+
+@F.arrow_udf(DoubleType())
+def ratio(num: pa.Array, den: pa.Array) -> pa.Array:
+    """num / den as the nearest double, however long they are; null if one is."""
+    sys.set_int_max_str_digits(0)
+    return pa.array([None if a is None or b is None else int(a) / int(b) for a, b in zip(num.to_pylist(), den.to_pylist(), strict=True)], pa.float64())
+
+
+def _mean(sums: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., num, den, n): mean of the fractions of each group, from their sums (by..., den, at, num, n)."""
+    parts = F.collect_list(F.struct(F.col("den").cast("string").alias("den"), F.col("at").cast("int").alias("at"), F.col("num").cast("string").alias("num"), "n"))
+    return sums.groupBy(*by).agg(parts.alias("_p")).select(*by, _mean_of("_p").alias("_m")).select(*by, "_m.*")
 
 
 def group_fractions(rows: DataFrame, by: list[str], group: str = "source_group_id", record: str = "record_id") -> DataFrame:
     """(by..., group, num, den): exact accuracy of a group, orders weighing alike in a record, records alike in a group."""
-    each = rows.groupBy(*by, group, record).agg(F.sum("correct").alias("c"), F.count("*").alias("k"))
-    return _mean(each, [*by, group], "c", "k").drop("n")
+    each = rows.groupBy(*by, group, record).agg(F.sum("correct").alias("c"), F.count("*").alias("den"))
+    sums = each.groupBy(*by, group, "den").agg(F.sum("c").cast(WIDE).alias("num"), F.count("*").alias("n")).withColumn("at", F.lit(0))
+    return _mean(sums, [*by, group]).drop("n")
 
 
 def mean_of_groups(groups: DataFrame, by: list[str]) -> DataFrame:
     """(by..., num, den, n): exact mean of the groups' fractions."""
-    return _mean(groups, by, "num", "den")
+    num = F.col("num").cast("string")
+    digits = F.ltrim(num, F.lit("-"))
+    ends = F.sequence(F.length(digits), F.lit(1), F.lit(-PIECE))
+    piece = lambda end: F.substring(digits, F.greatest(end - PIECE + 1, F.lit(1)), F.least(end, F.lit(PIECE))).cast(WIDE)
+    signed = F.transform(ends, lambda end: F.when(num.startswith("-"), -piece(end)).otherwise(piece(end)))
+    pieces = groups.select(*by, "den", F.posexplode(F.coalesce(signed, F.array(F.lit(None).cast(WIDE)))).alias("_i", "_piece"))
+    sums = pieces.groupBy(*by, "den", "_i").agg(F.sum("_piece").alias("num"), F.count_if(F.col("_i") == 0).alias("n"))
+    return _mean(sums.withColumn("at", F.col("_i") * PIECE), by)
 
 
 def minus(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
     """Difference of two fractions, not reduced."""
     wide = lambda c: c.cast(WIDE)
-    return wide(wide(a[0] * b[1]) - wide(b[0] * a[1])), wide(a[1] * b[1])
+    times = lambda x, y: wide(wide(x) * wide(y))
+    return wide(times(a[0], b[1]) - times(b[0], a[1])), times(a[1], b[1])
 
 
 def at_least(num: Column, den: Column, limit_num: Column, limit_den: Column) -> Column:

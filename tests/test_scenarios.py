@@ -122,6 +122,28 @@ def test_exact_means_and_gates_at_equality(spark):
     assert {r["gate"]: r["passes"] for r in exact.gates(values, specs, lows).collect()} == {"even": True, "above": False, "strict": False, "none": False}
 
 
+def test_exact_means_of_groups_of_many_sizes(spark):
+    sizes = [*range(1, 60), 4099, 4111, 4127]  # least common multiple: 36 digits
+    right = {n: n * (3 * n) // 7 % (n + 1) for n in sizes}
+    rows = spark.createDataFrame([(f"g{n}", f"r{n}-{i}", int(i < right[n])) for n in sizes for i in range(n)], "source_group_id string, record_id string, correct int")
+    mean = exact.mean_of_groups(exact.group_fractions(rows, []), []).select("num", "den", "n", exact.ratio("num", "den").alias("x")).first()
+    want = sum((Fraction(c, n) for n, c in right.items()), Fraction()) / len(sizes)
+    assert (Fraction(int(mean["num"]), int(mean["den"])), mean["n"], mean["x"]) == (want, len(sizes), float(want))
+    assert len(mean["den"]) > 19
+
+
+def test_exact_means_of_long_fractions(spark):
+    long = [(None, 10**400 + 7, 3**900), ("a", -(7**30), 2**5), ("a", 10**18, 10**18 + 1), ("a", 10**36 - 1, 10**18 + 1), ("a", 5, 2**5), ("b", 0, 9), ("c", None, None)]
+    groups = spark.createDataFrame([(t, None if a is None else str(a), None if b is None else str(b)) for t, a, b in long], "task string, num string, den string")
+    got = {r["task"]: r for r in exact.mean_of_groups(groups, ["task"]).withColumn("x", exact.ratio("num", "den")).collect()}
+    for t in (None, "a", "b"):
+        each = [Fraction(a, b) for u, a, b in long if u == t]
+        want = sum(each, Fraction()) / len(each)
+        assert (got[t]["num"], got[t]["den"], got[t]["n"], got[t]["x"]) == (str(want.numerator), str(want.denominator), len(each), want.numerator / want.denominator)
+    assert tuple(got["c"]) == ("c", None, None, 1, None)
+    assert exact.mean_of_groups(groups.limit(0), ["task"]).count() == 0
+
+
 def test_gcd_and_lcm(spark):
     rows = spark.createDataFrame([(12, 18, [4, 6, 10]), (17, 5, [1]), (1, 1, [])], "a long, b long, c array<long>")
     assert [tuple(r) for r in rows.select(exact.gcd(F.col("a"), F.col("b")), exact.lcm_all(F.col("c"))).collect()] == [(6, 60), (1, 1), (1, 1)]
