@@ -233,7 +233,7 @@ def _(spark, sf):
 @query("t10_gate_set", f"{EXACT}, d AS (SELECT f.task, f.a - b.a AS delta FROM v f JOIN v b ON f.task = b.task AND f.state = 'treatment' AND b.state = 'base') SELECT 'gain ' || task AS gate, round(delta, 9) AS delta, delta >= -0.05::DOUBLE AS passes FROM d UNION ALL SELECT 'strict ' || task, round(delta, 9), delta >= -0.05::DOUBLE AND task = 'quality-de' FROM d")
 def _(spark, sf):
     values = _values(spark, sf)
-    tasks = values.select("task").distinct()
+    tasks = values.filter("task IS NOT NULL").select("task").distinct()
     one = lambda head, strict: tasks.select(F.concat(F.lit(head), "task").alias("gate"), "task", F.lit("treatment").alias("final"), F.lit("base").alias("base"), F.lit(-1).alias("min_num"), F.lit(20).alias("min_den"), F.lit(strict).alias("strict"))
     lows = tasks.select(F.concat(F.lit("strict "), "task").alias("gate"), F.when(F.col("task") == "quality-de", 0.01).otherwise(0.0).alias("low"))
     return rounded(exact.gates(values, one("gain ", False).union(one("strict ", True)), lows).drop("low"), "delta")

@@ -18,12 +18,13 @@ from itertools import zip_longest
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructType
 
 WIDE = "decimal(38,0)"
 #: Digits of the pieces in which Spark adds long numerators; sums of 10^20 rows fit 38 digits.
 PIECE = 18
 MEAN = StructType().add("num", StringType()).add("den", StringType()).add("n", LongType())
+GATE = StructType().add("delta", DoubleType()).add("passes", BooleanType())
 #: Euclid's steps that two numbers of 19 digits need at most.
 STEPS = 92
 
@@ -107,19 +108,32 @@ def at_least(num: Column, den: Column, limit_num: Column, limit_den: Column) ->
     return (num.cast(WIDE) * limit_den.cast(WIDE)).cast(WIDE) >= (den.cast(WIDE) * limit_num.cast(WIDE)).cast(WIDE)
 
 
+@F.arrow_udf(GATE)
+def _gate(num: pa.Array, den: pa.Array, base_num: pa.Array, base_den: pa.Array, min_num: pa.Array, min_den: pa.Array) -> pa.Array:
+    """The value less its base as the nearest double, and whether the exact difference is at least the minimum; null if a number is."""
+    sys.set_int_max_str_digits(0)
+    out = []
+    for texts in zip(*[c.to_pylist() for c in (num, den, base_num, base_den, min_num, min_den)], strict=True):
+        a, b, c, d, e, f = (None if t is None else int(t) for t in texts)
+        delta = None if None in (a, b, c, d) else Fraction(a, b) - Fraction(c, d)
+        passes = None if delta is None or None in (e, f) else delta >= Fraction(e, f)
+        out.append({"delta": None if delta is None else delta.numerator / delta.denominator, "passes": passes})
+    return pa.array(out, pa.struct([("delta", pa.float64()), ("passes", pa.bool_())]))
+
+
 def gates(values: DataFrame, specs: DataFrame, lows: DataFrame | None = None) -> DataFrame:
     """Each gate of ``specs`` (gate, task, final, base, min_num, min_den, strict) with its exact delta and verdict.
 
-    values has (task, state, num, den); lows (gate, low) are lower interval ends, which a strict gate
-    needs above zero. A gate without values, or a strict one without its interval, fails.
+    values has (task, state, num, den), whole numbers of any length; lows (gate, low) are lower interval
+    ends, which a strict gate needs above zero. A gate without values, or a strict one without its interval, fails.
     """
     side = lambda name: values.select("task", F.col("state").alias(name), F.col("num").alias(f"{name}_num"), F.col("den").alias(f"{name}_den"))
     got = specs.join(side("final"), ["task", "final"], "left").join(side("base"), ["task", "base"], "left")
-    num, den = minus((F.col("final_num"), F.col("final_den")), (F.col("base_num"), F.col("base_den")))
-    got = got.withColumn("num", num).withColumn("den", den)
     got = got.join(lows, "gate", "left") if lows is not None else got.withColumn("low", F.lit(None).cast("double"))
-    passes = at_least(F.col("num"), F.col("den"), F.col("min_num"), F.col("min_den")) & (~F.col("strict") | (F.col("low") > 0))
-    return got.select("gate", (F.col("num").cast("double") / F.col("den").cast("double")).alias("delta"), "low", F.coalesce(passes, F.lit(False)).alias("passes"))
+    numbers = [F.col(c).cast("string") for c in ("final_num", "final_den", "base_num", "base_den", "min_num", "min_den")]
+    got = got.select("gate", "low", "strict", _gate(*numbers).alias("_g"))
+    passes = F.col("_g.passes") & (~F.col("strict") | (F.col("low") > 0))
+    return got.select("gate", F.col("_g.delta").alias("delta"), "low", F.coalesce(passes, F.lit(False)).alias("passes"))
 
 
 def anchor_gates(values: DataFrame, anchors: DataFrame) -> DataFrame:

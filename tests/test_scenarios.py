@@ -7,9 +7,11 @@ import json
 from fractions import Fraction
 from itertools import permutations, product
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from scorelane import evidence_queries, registry  # noqa: F401
 from scorelane.functions.text import split_slot
 from scorelane.operators import evidence, exact, generate, prompts, scenarios, scoring
 from scorelane.operators.workspace import Workspace
@@ -144,6 +146,39 @@ def test_exact_means_of_long_fractions(spark):
     assert exact.mean_of_groups(groups.limit(0), ["task"]).count() == 0
 
 
+def test_gates_on_long_fractions(spark):
+    new, old = Fraction(10**60 + 1, 3**140), Fraction(7, 10**400 + 9)
+    values = spark.createDataFrame([("t", s, str(v.numerator), str(v.denominator)) for s, v in (("new", new), ("old", old))], "task string, state string, num string, den string")
+    least = {"even": new - old, "above": new - old + Fraction(1, 10**900), "below": new - old - Fraction(1, 10**900)}
+    specs = spark.createDataFrame([(g, "t", "new", "old", str(v.numerator), str(v.denominator), False) for g, v in least.items()], "gate string, task string, final string, base string, min_num string, min_den string, strict boolean")
+    delta = (new - old).numerator / (new - old).denominator
+    assert {tuple(r) for r in exact.gates(values, specs).collect()} == {("even", delta, None, True), ("above", delta, None, False), ("below", delta, None, True)}
+
+
+@pytest.fixture(scope="module")
+def many_sizes(spark, tmp_path_factory):
+    """Tables whose groups have 61 sizes, with null languages and sources, and a check against SQL over them."""
+    path = tmp_path_factory.mktemp("sizes")
+    docs = [(n * 100 + i, ("de", "en", None)[n % 3], f"s{n}" if n else None) for n in [0, *range(1, 60), 61] for i in range(n or 7)]
+    spark.createDataFrame(docs, "doc_id long, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(d, d * d % 7 % 2) for d, _, _ in docs], "doc_id long, quality long").write.parquet(f"{path}/labels.parquet")
+
+    def check(name):
+        with duckdb.connect() as duck:
+            for table in ("documents", "labels"):
+                duck.execute(f"CREATE VIEW {table} AS SELECT * FROM '{path}/{table}.parquet/*.parquet'")
+            want = duck.sql(registry.SQL[name])
+            got = registry.QUERIES[name](spark, str(path)).select(*want.columns).collect()
+            assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
+
+    return check
+
+
+@pytest.mark.parametrize("name", ["a11_exact_accuracy", "t10_gate_set"])
+def test_exact_queries_on_groups_of_many_sizes(many_sizes, name):
+    many_sizes(name)
+
+
 def test_gcd_and_lcm(spark):
     rows = spark.createDataFrame([(12, 18, [4, 6, 10]), (17, 5, [1]), (1, 1, [])], "a long, b long, c array<long>")
     assert [tuple(r) for r in rows.select(exact.gcd(F.col("a"), F.col("b")), exact.lcm_all(F.col("c"))).collect()] == [(6, 60), (1, 1), (1, 1)]
