@@ -96,18 +96,6 @@ def mean_of_groups(groups: DataFrame, by: list[str]) -> DataFrame:
     return _mean(sums.withColumn("at", F.col("_i") * PIECE), by)
 
 
-def minus(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
-    """Difference of two fractions, not reduced."""
-    wide = lambda c: c.cast(WIDE)
-    times = lambda x, y: wide(wide(x) * wide(y))
-    return wide(times(a[0], b[1]) - times(b[0], a[1])), times(a[1], b[1])
-
-
-def at_least(num: Column, den: Column, limit_num: Column, limit_den: Column) -> Column:
-    """num / den >= limit, at equality too (denominators above zero)."""
-    return (num.cast(WIDE) * limit_den.cast(WIDE)).cast(WIDE) >= (den.cast(WIDE) * limit_num.cast(WIDE)).cast(WIDE)
-
-
 @F.arrow_udf(GATE)
 def _gate(num: pa.Array, den: pa.Array, base_num: pa.Array, base_den: pa.Array, min_num: pa.Array, min_den: pa.Array) -> pa.Array:
     """The value less its base as the nearest double, and whether the exact difference is at least the minimum; null if a number is."""
@@ -137,11 +125,15 @@ def gates(values: DataFrame, specs: DataFrame, lows: DataFrame | None = None) ->
 
 
 def anchor_gates(values: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Each anchor (gate, task, state, at_num, at_den, min_num, min_den): the value less the fixed fraction, and whether that is enough."""
-    got = anchors.join(values.select("task", "state", "num", "den"), ["task", "state"], "left")
-    num, den = minus((F.col("num"), F.col("den")), (F.col("at_num"), F.col("at_den")))
-    passes = F.coalesce(at_least(num, den, F.col("min_num"), F.col("min_den")), F.lit(False))
-    return got.select("gate", (num.cast("double") / den.cast("double")).alias("delta"), passes.alias("passes"))
+    """Each anchor (gate, task, state, at_num, at_den, min_num, min_den): the value less the fixed fraction, and whether that is enough.
+
+    Whole numbers of any length; a null task is a task of its own, and an anchor without a value fails.
+    """
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"v.{c}")) for c in ("task", "state")]
+    got = anchors.alias("a").join(values.select("task", "state", "num", "den").alias("v"), same, "left")
+    numbers = [F.col(c).cast("string") for c in ("num", "den", "at_num", "at_den", "min_num", "min_den")]
+    got = got.select("gate", _gate(*numbers).alias("_g"))
+    return got.select("gate", F.col("_g.delta").alias("delta"), F.coalesce("_g.passes", F.lit(False)).alias("passes"))
 
 
 def mean_ratio_intervals(groups: DataFrame, drawn: DataFrame, by: str) -> DataFrame:

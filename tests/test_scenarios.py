@@ -155,6 +155,16 @@ def test_gates_on_long_fractions(spark):
     assert {tuple(r) for r in exact.gates(values, specs).collect()} == {("even", delta, None, True), ("above", delta, None, False), ("below", delta, None, True)}
 
 
+def test_anchors_on_long_fractions(spark):
+    value, at = Fraction(10**60 + 1, 3**140), Fraction(7, 10**400 + 9)
+    values = spark.createDataFrame([(None, "new", str(value.numerator), str(value.denominator))], "task string, state string, num string, den string")
+    least = {"even": value - at, "above": value - at + Fraction(1, 10**900), "below": value - at - Fraction(1, 10**900)}
+    rows = [(g, None, "new", str(at.numerator), str(at.denominator), str(v.numerator), str(v.denominator)) for g, v in least.items()] + [("none", "t", "new", "1", "3", "0", "1")]
+    anchors = spark.createDataFrame(rows, "gate string, task string, state string, at_num string, at_den string, min_num string, min_den string")
+    delta = (value - at).numerator / (value - at).denominator
+    assert {tuple(r) for r in exact.anchor_gates(values, anchors).collect()} == {("even", delta, True), ("above", delta, False), ("below", delta, True), ("none", None, False)}
+
+
 @pytest.fixture(scope="module")
 def many_sizes(spark, tmp_path_factory):
     """Tables whose groups have 61 sizes, with null languages and sources, and a check against SQL over them."""
@@ -174,7 +184,7 @@ def many_sizes(spark, tmp_path_factory):
     return check
 
 
-@pytest.mark.parametrize("name", ["a11_exact_accuracy", "t10_gate_set"])
+@pytest.mark.parametrize("name", ["a11_exact_accuracy", "t10_gate_set", "t11_anchors"])
 def test_exact_queries_on_groups_of_many_sizes(many_sizes, name):
     many_sizes(name)
 
